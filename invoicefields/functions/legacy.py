@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from invoicefields import fixed_values as fv
 from invoicefields.functions.finders import ANY_CASE, ANY_CASE_D, int_after_label
 from invoicefields.functions.numbers import parse_amount_v17
-from invoicefields.functions.text import let, reduce_repetition
+from invoicefields.functions.text import let, reduce_repetition, strip
 
 AMOUNT = r"(\d{1,3}(?:[\s.,]\d{3})*(?:[.,]\d{2}))"
 
@@ -44,7 +44,7 @@ def float_before_marker_v17(text: Column, marker: str) -> Column:
 
 def invoice_no_v17(text: Column, file_stem: Column) -> Column:
     """From the file name if it is a known form, else by label, else by form anywhere in the text."""
-    name = F.trim(file_stem)
+    name = strip(file_stem)
 
     def by_label(pattern: str) -> Column:
         return let(
@@ -84,13 +84,6 @@ def total_invoice_v17(text: Column) -> Column:
     )
 
 
-def has_total_v17(text: Column) -> Column:
-    """Is there any total by label?  Then a failed parse is final."""
-    return text.rlike(ANY_CASE + r"TOTAL\s+INVOICE(?:\s*+:\s*+|(?=\s* )\s++)[0-9][0-9.,]") | text.rlike(
-        ANY_CASE_D + r"Total\s+Invoices?.*?[0-9][0-9.,]"
-    )
-
-
 def is_simple_layout_v17(text: Column, number: Column) -> Column:
     return F.contains(text, F.lit(fv.V17_SIMPLE_TOTAL_TEXT)) | F.coalesce(
         F.startswith(number, F.lit(fv.V17_SIMPLE_NUMBER_PREFIX)), F.lit(False)
