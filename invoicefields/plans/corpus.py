@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 STYLES = 6
 BATCHES = 50
-ZERO_WIDTH, JOINER, NO_BREAK = "​", "⁠", " "
+ZERO_WIDTH, JOINER, NO_BREAK = "\u200b", "\u2060", "\u00a0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,9 @@ def page_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalise_text(spark: SparkSession, sf: str) -> DataFrame:
-    blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.lit(" "))
-    noisy = F.replace(F.replace("text", F.lit("e"), F.lit("​e﻿‪⁩")), F.lit(" "), blank)
+    blank = F.when(F.col("doc_id") % 2 == 0, F.lit("\u00a0")).otherwise(F.lit("\u202f"))
+    marked = F.replace("text", F.lit("e"), F.lit("\u200be\ufeff\u202a\u2069"))
+    noisy = F.replace(marked, F.lit(" "), blank)
     clean = tx.normalise_text(noisy)
     return table(spark, sf, "documents").select(
         "doc_id", F.md5(clean).alias("digest"), F.char_length(clean).alias("chars")
@@ -80,7 +82,7 @@ def selected_documents(spark: SparkSession, sf: str) -> DataFrame:
 def rejected_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.col("lang").alias("batch_id"),
-        F.when(F.col("doc_id") % 13 == 0, F.lit("in/")).otherwise(corpus.file_name(F.col("doc_id"))).alias("file"),
+        F.when(F.col("doc_id") % 13 == 0, F.lit("/")).otherwise(corpus.file_name(F.col("doc_id"))).alias("file"),
         F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"),
     )
     kept, rejected = split_rejected(docs)
@@ -99,70 +101,67 @@ def invoice_no_from_file(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _finder(spark, sf, text: Column, **found: Column) -> DataFrame:
+def _finder(spark, sf, text: Column, **found: Callable[[Column], Column]) -> DataFrame:
     """The numbers of each invoice, a text made of them, and what the finders find in it."""
     return invoice_numbers(spark, sf).withColumn("text", text).select(
-        "k", *[value.alias(name) for name, value in found.items()]
+        "k", *[find(F.col("text")).alias(name) for name, find in found.items()]
     )
 
 
-T = F.col("text")
-
-
 def int_after_label(spark, sf):
     text = _say("Ref 7\nNombre  de\nPalettes : ", F.col("pallets"), "\nBOXES:", F.col("boxes"), " pcs")
-    return _finder(spark, sf, text, pallets=finders.int_after_label(T, fv.PALLET_LABELS),
-                   boxes=finders.int_after_label(T, fv.BOX_LABELS))
+    return _finder(spark, sf, text, pallets=lambda t: finders.int_after_label(t, fv.PALLET_LABELS),
+                   boxes=lambda t: finders.int_after_label(t, fv.BOX_LABELS))
 
 
 def int_repeated_layers(spark, sf):
     layers, copies = (F.col("k") % 4 + 1).cast("int"), (F.col("k") % 3 + 1).cast("int")
     text = _say(F.repeat(F.lit("Boxes:"), layers), " ", F.repeat(F.col("pallets").cast("string"), copies), "\n")
-    return _finder(spark, sf, text, boxes=finders.int_after_label(T, fv.BOX_LABELS))
+    return _finder(spark, sf, text, boxes=lambda t: finders.int_after_label(t, fv.BOX_LABELS))
 
 
 def weight_after_label(spark, sf):
     text = _say("Poids  brut :\n", F.col("gross"), " kg\nNetWeight:", F.col("net"), "KGS\n")
-    return _finder(spark, sf, text, gross_weight=finders.weight_after_label(T, fv.GROSS_LABELS),
-                   net_weight=finders.weight_after_label(T, fv.NET_LABELS))
+    return _finder(spark, sf, text, gross_weight=lambda t: finders.weight_after_label(t, fv.GROSS_LABELS),
+                   net_weight=lambda t: finders.weight_after_label(t, fv.NET_LABELS))
 
 
 def weight_same_digit(spark, sf):
     run = F.repeat((F.col("k") % 10).cast("string"), (F.col("boxes")).cast("int"))
     text = _say("Gross Weight: ", run, " kg")
-    return _finder(spark, sf, text, gross_weight=finders.weight_after_label(T, fv.GROSS_LABELS))
+    return _finder(spark, sf, text, gross_weight=lambda t: finders.weight_after_label(t, fv.GROSS_LABELS))
 
 
 def float_after_label(spark, sf):
     text = _say("Gross Weight: ", eu_format(F.col("total")), " kg\nEnd")
-    return _finder(spark, sf, text, amount=finders.float_after_label(T, fv.GROSS_LABELS))
+    return _finder(spark, sf, text, amount=lambda t: finders.float_after_label(t, fv.GROSS_LABELS))
 
 
 def float_before_marker(spark, sf):
     text = _say("Lines ", F.col("boxes"), "\nSum ", us_format(F.col("total")), "\n VAT %")
-    return _finder(spark, sf, text, amount=finders.float_before_marker(T, fv.V17_TAXABLE_MARKER))
+    return _finder(spark, sf, text, amount=lambda t: finders.float_before_marker(t, fv.V17_TAXABLE_MARKER))
 
 
 def total_tier1(spark, sf):
-    text = _say("Total\n Invoices (1 page) EUR ", us_format(F.col("total")), "\nEnd 5")
-    return _finder(spark, sf, text, total_invoice=finders.total_after_label(T))
+    text = _say("Total\n Invoices (2p) EUR ", us_format(F.col("total")), "\nEnd 5")
+    return _finder(spark, sf, text, total_invoice=lambda t: finders.total_after_label(t))
 
 
 def total_tier2(spark, sf):
     mark = F.when(F.col("k") % 2 == 0, F.lit(" : ")).otherwise(F.lit("  "))
     text = _say("5 lines\nTOTAL INVOICE", mark, us_format(F.col("total")), "\nEnd")
-    return _finder(spark, sf, text, total_invoice=finders.total_beside_label(T))
+    return _finder(spark, sf, text, total_invoice=lambda t: finders.total_beside_label(t))
 
 
 def total_tier3(spark, sf):
     far = F.repeat(F.lit("x"), F.lit(fv.EURO_WINDOW))
     text = _say("€ 11.22 ", far, eu_format(F.col("total")), "€\nTotal Facture en Euro* :", far, " 33.44€ end")
-    return _finder(spark, sf, text, total_invoice=finders.total_near_french_label(T))
+    return _finder(spark, sf, text, total_invoice=lambda t: finders.total_near_french_label(t))
 
 
 def total_tier4(spark, sf):
-    text = _say("Sum 7.50 of € ", F.col("boxes"), " and € ", us_format(F.col("total")), "\nEnd")
-    return _finder(spark, sf, text, total_invoice=finders.total_anywhere(T))
+    text = _say("Sum 7.50 in parts of € ", F.col("boxes"), " and € ", us_format(F.col("total")), "\nEnd")
+    return _finder(spark, sf, text, total_invoice=lambda t: finders.total_anywhere(t))
 
 
 def total_cascade(spark, sf):
@@ -174,14 +173,14 @@ def total_cascade(spark, sf):
         .when(style == 3, _say("Net ", us_format(amount), " €"))
         .otherwise(_say("Net ", amount))
     )
-    return _finder(spark, sf, text, total_invoice=finders.total_invoice(T))
+    return _finder(spark, sf, text, total_invoice=lambda t: finders.total_invoice(t))
 
 
 def euro_amounts_last(spark, sf):
     mixed = _say("€ ", F.col("gross"), " x ", F.col("total"), "€ y € ", F.col("boxes"), " end")
     whole = _say("€ ", F.col("boxes"), " x ", F.col("gross"), " pieces")
     text = F.when(F.col("k") % 3 == 0, whole).otherwise(mixed)
-    return _finder(spark, sf, text, amount=finders.last_euro_amount(T))
+    return _finder(spark, sf, text, amount=lambda t: finders.last_euro_amount(t))
 
 
 # --- tokens -----------------------------------------------------------------------------------
@@ -530,21 +529,21 @@ def v17_taxable(spark, sf):
     return (
         invoice_numbers(spark, sf).withColumn("text", text)
         .withColumn("n", F.when(F.col("k") % 2 == 0, F.lit("inv-1")).otherwise(F.lit("DM1")))
-        .withColumn("taxable_amount", legacy.taxable_amount_v17(T, F.col("n")))
+        .withColumn("taxable_amount", legacy.taxable_amount_v17(F.col("text"), F.col("n")))
         .select("k", "taxable_amount",
-                legacy.total_cascade_v17(T, F.col("n"), F.col("taxable_amount")).alias("total_invoice"))
+                legacy.total_cascade_v17(F.col("text"), F.col("n"), F.col("taxable_amount")).alias("total_invoice"))
     )
 
 
 def v17_max_euro(spark, sf):
     text = _say("€ ", us_format(F.col("total")), " and 99.50 € and ", us_format(F.col("total") / 2), "€.")
-    return _finder(spark, sf, text, amount=legacy.max_euro_amount_v17(T))
+    return _finder(spark, sf, text, amount=lambda t: legacy.max_euro_amount_v17(t))
 
 
 def v17_labels(spark, sf):
     text = _say("gross weight: ", F.col("total"), "\nNombre de Colis:", F.col("pallets"), "\n")
-    return _finder(spark, sf, text, gross_weight=legacy.float_after_label_v17(T, fv.V17_GROSS_LABELS),
-                   boxes=legacy.int_after_label_v17(T, fv.V17_BOX_LABELS))
+    return _finder(spark, sf, text, gross_weight=lambda t: legacy.float_after_label_v17(t, fv.V17_GROSS_LABELS),
+                   boxes=lambda t: legacy.int_after_label_v17(t, fv.V17_BOX_LABELS))
 
 
 QUERIES = {
