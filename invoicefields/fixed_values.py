@@ -39,6 +39,9 @@ DELETED_CHARACTERS = (
     "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 )
 
+# The first UTF-8 bytes of all of these.
+MARK_LEAD_BYTES = [b"\xc2\xa0", b"\xe2\x80", b"\xe2\x81", b"\xef\xbb\xbf"]
+
 # --- fixed values: how far around the French total label amounts are looked for --------------
 EURO_WINDOW = 250
 

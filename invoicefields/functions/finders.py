@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from invoicefields import fixed_values as fv
 from invoicefields.functions.numbers import has_two_decimals, parse_number, parse_weight
-from invoicefields.functions.text import let, reduce_repetition
+from invoicefields.functions.text import let, smallest_unit
 
 # Unicode white space and word characters, any case; D: a dot matches line ends too.
 ANY_CASE = "(?iU)"
@@ -48,7 +48,7 @@ def _int_after(text: Column, label: str) -> Column:
                 (m["n"] > 1) & (F.length(m["d"]) % m["n"] == 0),
                 F.left(m["d"], (F.length(m["d"]) / m["n"]).cast("int")),
             )
-            .otherwise(reduce_repetition(m["d"]))
+            .otherwise(smallest_unit(m["d"]))
             .try_cast("bigint"),
         )
 

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from invoicefields.functions.text import let, reduce_repetition
+from invoicefields.functions.text import let, reduce_repetition, smallest_unit
 
 NUMBER_RUN = r"[0-9][0-9.,]*"
 
 
 def longest_number(token: Column) -> Column:
-    """The longest number written in the token, the first of equals; the token if it has none."""
+    """The longest number written in the token, the first of equals; NULL if it has none."""
     runs = F.regexp_extract_all(token, F.lit(NUMBER_RUN), F.lit(0))
     ranked = F.transform(
         runs, lambda run, i: F.struct(F.length(run).alias("n"), (-i).alias("back"), run.alias("run"))
     )
-    return F.coalesce(F.array_max(ranked)["run"], token)
-
-
-def drop_blanks(token: Column) -> Column:
-    return F.translate(token, " \u00a0", "")
+    return F.array_max(ranked)["run"]
 
 
 def strip_unit(token: Column) -> Column:
+    """``191kg`` -> ``191``.  For tokens as they stand: numbers are picked out without units."""
     return F.regexp_replace(token, r"(?i)(?:kg|kgs|g)\z", "")
 
 
@@ -38,13 +35,9 @@ def decimal_value(token: Column) -> Column:
     return plain.try_cast("double")
 
 
-def _value_of(candidate: Column) -> Column:
-    return let(strip_unit(drop_blanks(reduce_repetition(candidate))), decimal_value)
-
-
 def parse_number(token: Column) -> Column:
     """Number in a token that may hold the same value several times; NULL if it is none."""
-    return _value_of(longest_number(token))
+    return let(smallest_unit(longest_number(token)), decimal_value)
 
 
 def is_one_digit_repeated(token: Column) -> Column:
@@ -58,13 +51,14 @@ def parse_weight(token: Column) -> Column:
         n = F.length(s)
         kept = (
             F.when(n <= 5, s)
-            .when(n % 3 == 0, F.left(s, F.lit(3)))
-            .when(n % 2 == 0, F.left(s, F.lit(2)))
+            .when((n % 3 != 0) & (n % 2 == 0), F.left(s, F.lit(2)))
             .otherwise(F.left(s, F.lit(3)))
         )
-        return F.when(is_one_digit_repeated(s), kept.try_cast("double")).otherwise(_value_of(s))
+        return let(
+            F.when(is_one_digit_repeated(s), kept).otherwise(smallest_unit(s)), decimal_value
+        )
 
-    return let(strip_unit(drop_blanks(longest_number(token))), value)
+    return let(longest_number(token), value)
 
 
 def parse_amount_v17(token: Column) -> Column:
