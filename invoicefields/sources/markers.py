@@ -1,0 +1,36 @@
+"""Marker files.  File sources list neither empty files nor names that start with ``_`` or
+``.``, and markers are mostly both, so they are looked up batch by batch, in the tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MARKED = "batch_id STRING, marked_at LONG"
+
+
+def marked_batches(batches: DataFrame, root: str, marker: str) -> DataFrame:
+    """Of the given batches those whose root holds the marker, and when it was written
+    (microseconds).  One request per task and frame of batches, none on the driver."""
+
+    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            found = files.get_file_info([f"{base.rstrip('/')}/{b}/{marker}" for b in frame["batch_id"]])
+            there = [(b, info.mtime_ns // 1000) for b, info in zip(frame["batch_id"], found)
+                     if info.type != fs.FileType.NotFound]
+            yield pd.DataFrame(there, columns=["batch_id", "marked_at"])
+
+    return batches.select("batch_id").mapInPandas(look_up, MARKED)
+
+
+def marker_rows(marked: DataFrame, marker: str) -> DataFrame:
+    """Markers as landed files without text."""
+    return marked.select(
+        F.lit(marker).alias("rel_path"), F.timestamp_micros("marked_at").alias("modificationTime"),
+        F.lit(None).cast("string").alias("text"), F.current_timestamp().alias("landed_at"), "batch_id",
+    )

@@ -30,3 +30,9 @@ def stored(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at the path, on whatever storage it names?"""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
