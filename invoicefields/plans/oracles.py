@@ -380,4 +380,22 @@ SELECT k, CASE WHEN k % 5 < 4 OR k % 2 = 0 THEN {TOTAL} END AS taxable_amount,
 FROM inv""",
     "v17_max_euro": found(amount=f"greatest({TOTAL}, 99.5)"),
     "v17_labels": found(gross_weight=TOTAL, boxes=whole("pallets")),
+    "stream_closed_batches": """
+SELECT CAST(user_id AS VARCHAR) AS batch_id, CASE WHEN bool_or(event_type = 'signup') THEN 'marker' ELSE 'quiet' END AS reason,
+  count(*) AS files, count(*) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS total_files,
+  epoch_us(max(ts)) AS last_change, epoch_us(min(ts)) AS first_landed, epoch_us(max(ts)) AS last_landed
+FROM events GROUP BY user_id""",
+    "stream_sessions": """
+WITH paused AS (
+  SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS starts
+  FROM events
+),
+numbered AS (
+  SELECT user_id, ts, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM paused
+)
+SELECT user_id AS batch_id, count(*) AS files, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) AS last_change
+FROM numbered GROUP BY user_id, session_no
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "stream_status": f"""WITH {LOG}
+SELECT batch_id, seq, state, stage, ts AS updated_at FROM log WHERE state IN ('DONE', 'ERROR')""",
 }

@@ -23,6 +23,8 @@ from invoicefields.plans.corpus import eu_format, invoice_numbers, money, table,
 from invoicefields.sources.archives import archive_documents, expand_archives
 from invoicefields.sources.files import with_batch, with_rank
 from invoicefields.sources.storage import stored
+from invoicefields.streaming import closing
+from invoicefields.streaming.drain import drained
 
 QUIET_SECONDS = 6 * 3600
 AS_OF = "2024-01-31 00:00:00"
@@ -411,6 +413,10 @@ def path_sort_rank(spark, sf):
 # --- status -----------------------------------------------------------------------------------
 
 def _status_log(spark, sf) -> DataFrame:
+    return _status_log_of(table(spark, sf, "events"))
+
+
+def _status_log_of(events: DataFrame) -> DataFrame:
     """Events as status changes of the batch of their user."""
     kind, e = F.col("event_type"), F.col("event_id")
     state = (
@@ -422,7 +428,7 @@ def _status_log(spark, sf) -> DataFrame:
         .when(kind == "error", F.lit("ERROR")).when(kind == "view", F.lit("emailing"))
         .otherwise(F.lit(fv.STAGE_EXTRACTOR))
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("batch_id"),
         *status.status_row(state, stage, e % 5, e % 7, F.col("ts"), F.array(F.lit("a@x")), kind, e),
     )
@@ -546,6 +552,46 @@ def v17_labels(spark, sf):
                    boxes=lambda t: legacy.int_after_label_v17(t, fv.V17_BOX_LABELS))
 
 
+# --- streams ----------------------------------------------------------------------------------
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _utc(column: str) -> Column:
+    """A time without zone as the moment it is in UTC, whatever zone the session runs in."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp")
+
+
+def stream_closed_batches(spark, sf):
+    """Events as landed files of the batch of their user; all of them are long quiet by the clock,
+    those with a signup are closed by their marker."""
+    landed = _event_stream(spark, sf).select(
+        F.col("user_id").cast("string").alias("batch_id"),
+        F.when(F.col("event_type") == "signup", F.lit(fv.DONE_MARKER))
+        .otherwise(F.concat("event_id", F.when(F.col("event_type") == "error", F.lit(".txt")).otherwise(F.lit(".pdf")))).alias("rel_path"),
+        _utc("ts").alias("modificationTime"), _utc("ts").alias("landed_at"),
+    )
+    return drained(closing.closed_batches(closing.arrivals(landed), QUIET_SECONDS)).drop("closed_at")
+
+
+def stream_sessions(spark, sf):
+    landed = _event_stream(spark, sf).select(F.col("user_id").alias("batch_id"), _utc("ts").alias("modificationTime"))
+    sessions = drained(closing.activity_sessions(landed, QUIET_SECONDS, "1 hour"))
+    return sessions.select(
+        "batch_id", "files", F.unix_micros("session_start").alias("session_start"),
+        F.unix_micros("last_change").alias("last_change"),
+    )
+
+
+def stream_status(spark, sf):
+    """The changes that end a batch, from the status log as a stream."""
+    log = _status_log_of(_event_stream(spark, sf))
+    ends = log.filter(status.is_terminal(F.col("state"), F.col("stage")))
+    return drained(ends).select("batch_id", "seq", "state", "stage", "updated_at")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -561,5 +607,6 @@ QUERIES = {
         status_latest, status_first_start, status_with_default, status_seed_missing,
         status_progress, status_terminal, recipients, notification_rows,
         v17_fields, v17_invoice_no, v17_taxable, v17_max_euro, v17_labels,
+        stream_closed_batches, stream_sessions, stream_status,
     )
 }
