@@ -573,7 +573,8 @@ def stream_closed_batches(spark, sf):
         .otherwise(F.concat("event_id", F.when(F.col("event_type") == "error", F.lit(".txt")).otherwise(F.lit(".pdf")))).alias("rel_path"),
         _utc("ts").alias("modificationTime"), _utc("ts").alias("landed_at"),
     )
-    return drained(closing.closed_batches(closing.arrivals(landed), QUIET_SECONDS)).drop("closed_at")
+    closed = closing.closed_batches(closing.arrivals(landed), QUIET_SECONDS)
+    return drained(closed, has_timers=True).drop("closed_at")
 
 
 def stream_sessions(spark, sf):
