@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from invoicefields.llm.common import fold, map_blocks
 
 FOLDS, HELD_OUT = 3, 1
-#: Dictionaries are made from at most so many labelled texts for each language (those with the
-#: smallest hash of their id), and at most so many bytes of each.
-TEXTS, BYTES_OF_TEXT = 96, 1536
-LEVEL = 3
+#: A dictionary has at most so many bytes, from at most so many labelled texts of its language
+#: (those with the smallest hash of their id), and at most so many characters of each.
+DICTIONARY_BYTES, TEXTS, CHARS_OF_TEXT = 100 << 10, 256, 1024
+LEVEL = 6
 #: Bytes compressed at once; a longer text is compressed in pieces, all of them.
 PIECE = 16 << 10
 LEAST_MARGIN = 0.01
@@ -44,12 +44,12 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     first = Window.partitionBy("lang").orderBy("turn", "doc_id", "text")
     ids = (hashed.select("lang", "doc_id", "turn", F.xxhash64("text").alias("text"))
            .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TEXTS).select("doc_id").distinct())
-    rows = hashed.join(F.broadcast(ids), "doc_id").select("lang", "turn", F.substring("text", 1, BYTES_OF_TEXT))
-    parts: dict[str, list[bytes]] = {}
+    rows = hashed.join(F.broadcast(ids), "doc_id").select("lang", "turn", F.substring("text", 1, CHARS_OF_TEXT))
+    content: dict[str, bytes] = {}
     for lang, _, text in sorted(map(tuple, rows.collect())):
-        if _LETTER.search(text) and len(own := parts.setdefault(lang, [])) < TEXTS:
-            own.append(plain(text)[:BYTES_OF_TEXT])
-    return {lang: b" ".join(own) for lang, own in parts.items()}
+        if _LETTER.search(text):
+            content[lang] = (content.get(lang, b"") + plain(text) + b" ")[:DICTIONARY_BYTES]
+    return content
 
 
 class Classifier:

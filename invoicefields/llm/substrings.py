@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoicefields.llm.common import WordHashes, blocks, map_blocks, mix, utf8
+from invoicefields.llm.common import Scratch, WordHashes, blocks, map_blocks, mix, utf8
 
 WINDOW = 50
 RUN = 25
@@ -83,117 +83,193 @@ def cells_of(anchor: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(anchor) & low, mix(anchor ^ np.uint64(_BASES[1])) & low
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, int]:
-    """Packed bits (two or more documents) of all cells, and the number of cells."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = size / 6 * 2 / (window - run + 2)
-    cells = LEAST_CELLS
-    while cells < MOST_CELLS and cells < CELLS_PER_ANCHOR * expected:
-        cells *= 2
-    schema = pa.schema([("part", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
+SPARSE = "part INT, once BINARY, more BINARY"
+
+
+class Cells:
+    """Counts of cells that a task gathers, handed on by ranges."""
 
-    def gathered(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        part = (value // np.uint64(RANGE)).astype(np.int32)
+    def __init__(self, cells: int):
+        self.cells, self.range, self.held, self.size = cells, min(RANGE, cells), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.held.extend(cells_of(keys, self.cells))
+        self.size += len(keys)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """By range: the places counted once and those counted more often."""
+        if not self.held:
+            return
+        value, count = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        part = (value // np.uint64(self.range)).astype(np.int32)
         edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
         for a, b in zip(edges[:-1], edges[1:]):
-            place = (value[a:b] % np.uint64(RANGE)).astype(np.uint32)
+            place = (value[a:b] % np.uint64(self.range)).astype(np.uint32)
             many = count[a:b] > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part[a]], pa.int32()), pa.array([place[~many].tobytes()], pa.binary()),
-                 pa.array([place[many].tobytes()], pa.binary())], schema=schema)
+                 pa.array([place[many].tobytes()], pa.binary())], names=["part", "once", "more"])
+
+
+def sketch_size(keys: float, most: int) -> int:
+    cells = min(LEAST_CELLS, most)
+    while cells < most and cells < CELLS_PER_ANCHOR * keys:
+        cells *= 2
+    return cells
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, hashes, held, n = Rolling(), WordHashes(), [], 0
-        for block in blocks(batches):
-            for text in utf8(block):
-                words = text.split() if text else []
-                if len(words) >= window:
-                    own = np.unique(anchors(hashes.of(words), rolling, window, run))
-                    held.extend(cells_of(own, cells))
-                    n += len(own)
-            if n >= ANCHORS_HELD:
-                yield from gathered(held)
-                held, n = [], 0
-        if held:
-            yield from gathered(held)
+
+def merged_bits(parts: DataFrame, cells: int, least: int) -> np.ndarray:
+    """One bit per cell: counted ``least`` (1 or 2) times or more by all tasks together."""
+    size = min(RANGE, cells)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, once, more in zip(*[c.to_pylist() for c in batch.columns]):
-                own = counts.setdefault(part, np.zeros(RANGE, np.uint8))
+                own = counts.setdefault(part, np.zeros(size, np.uint8))
                 at = np.frombuffer(once, np.uint32)
                 own[at] = np.minimum(own[at] + 1, 2)
                 own[np.frombuffer(more, np.uint32)] = 2
         for part, own in counts.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([np.packbits(own > 1).tobytes()], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())],
                 names=["part", "bits"])
 
-    parts = docs.select("text").mapInArrow(count, "part INT, once BINARY, more BINARY")
     bits = np.zeros(cells // 8, np.uint8)
     for part, some in parts.repartition("part").mapInArrow(merge, "part INT, bits BINARY").toLocalIterator():
-        bits[part * (RANGE // 8):(part + 1) * (RANGE // 8)] = np.frombuffer(some, np.uint8)
-    return bits, cells
+        bits[part * (size // 8):(part + 1) * (size // 8)] = np.frombuffer(some, np.uint8)
+    return bits
 
 
-def repeated_windows(docs: DataFrame, sent: Broadcast, window: int, run: int) -> DataFrame:
-    """``h1, h2, doc_id, place``: the windows that the sketch takes for repeated.  ``place`` holds
-    the number of the first word, and above it some bits of the text, which tell rows that share
-    an id apart."""
-    rolling, hashes = Rolling(), WordHashes()
+def has_bits(keys: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
+    """Which keys have the bits of both of their cells."""
+    one, two = cells_of(keys, cells)
+    seven, three = np.uint64(7), np.uint64(3)
+    return ((bits[one >> three] >> (seven - (one & seven)).astype(np.uint8))
+            & (bits[two >> three] >> (seven - (two & seven)).astype(np.uint8)) & 1).astype(bool)
 
-    def emit(block: pa.RecordBatch) -> dict | None:
-        bits, cells = sent.value
-        out: dict[str, list] = {"h1": [], "h2": [], "doc_id": [], "place": []}
-        for doc_id, key, text in zip(block.column("doc_id").to_pylist(), block.column("key").to_pylist(),
-                                     utf8(block)):
-            words = text.split() if text else []
-            if len(words) < window:
-                continue
-            h = hashes.of(words)
-            sums = rolling.sums(h)
-            anchor = smallest(rolling.runs(sums, run), window - run + 1)
-            one, two = cells_of(anchor, cells)
-            seven, three = np.uint64(7), np.uint64(3)
-            there = ((bits[one >> three] >> (seven - (one & seven)).astype(np.uint8))
-                     & (bits[two >> three] >> (seven - (two & seven)).astype(np.uint8)) & 1)
-            at = np.flatnonzero(there)
-            if len(at):
-                out["h1"].append(rolling.runs(sums, window)[at].view(np.int64))
-                other = rolling.runs(rolling.sums(h, 1), window, 1)[at]
-                out["h2"].append((other >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                out["doc_id"].append(np.full(len(at), doc_id, np.int64))
-                out["place"].append(at + (key << 32))
-        return {k: np.concatenate(v) for k, v in out.items()} if out["h1"] else None
-
-    return map_blocks(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _key().alias("key")), emit,
-                      "h1 LONG, h2 INT, doc_id LONG, place LONG")
-
-
-def _key():
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
-
-
-def find_repeats(docs: DataFrame, window: int = WINDOW, run: int | None = None) -> DataFrame:
-    """``doc_id, text, starts`` for every row: ``starts`` are the numbers of the first words of the
-    windows that also start in a document with a smaller id; null if there is none.
+
+def without_copies(docs: DataFrame, scratch: Scratch, most_cells: int) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """The later copies of texts (``doc_id, digest``); the first ones of texts that may have copies
+    (``doc_id, text, digest``, stored); and bits that tell a task which texts may have copies."""
+    named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _digest().alias("digest"))
+    groups = (named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+              .filter("first < last").select("digest", "first"))
+    groups = scratch.save(groups)
+    cells = sketch_size(groups.count(), most_cells)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Cells(cells)
+        for batch in batches:
+            own.add(_key_of(batch.column("digest").to_pylist()))
+            if own.size >= ANCHORS_HELD:
+                yield from own.rows()
+        yield from own.rows()
+
+    bits = docs.sparkSession.sparkContext.broadcast(
+        (merged_bits(groups.select("digest").mapInArrow(gather, SPARSE), cells, 1), cells))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.filter(pa.array(has_bits(_key_of(block.column("digest").to_pylist()), *bits.value)))
+
+    firsts = (named.mapInArrow(maybe, named.schema).join(groups, "digest", "left")
+              .filter("first IS NULL OR first = doc_id").select("doc_id", "text", "digest"))
+    later = named.select("doc_id", "digest").join(groups, "digest").filter("doc_id > first").select("doc_id", "digest")
+    return later, scratch.save(firsts), bits
+
+
+def _digest():
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def _key_of(digests: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64)
+
+
+def _mark(hexadecimal: Column) -> Column:
+    """The first 16 bits of a digest."""
+    return F.conv(F.substring(hexadecimal, 1, 4), 16, 10).cast("long")
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW, run: int | None = None,
+                 most_cells: int = MOST_CELLS) -> DataFrame:
+    """``doc_id, text, starts, copy`` for every row: ``starts`` are the numbers of the first words of
+    the windows that also start in a document with a smaller id, null if there is none; ``copy``
+    is true where the whole text is such a document's, and all windows are meant.
 
     A null or empty text and one of fewer than ``window`` words has no window.  Rows that share an
     id do not count as each other's earlier document.  A row without an id neither loses words nor
     is an earlier document.  Windows are judged on the texts as given.  Other columns are ignored.
     """
     run = run or max(1, window // 2)
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(docs.filter("doc_id IS NOT NULL"), window, run))
-    windows = repeated_windows(docs, sent, window, run)
-    groups = (windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .filter("first < last").select("h1", "h2", "first"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substrings")
+    later, firsts, copied = without_copies(docs, scratch, most_cells)
+    single = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _digest().alias("digest"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = sketch_size(size / 6 * 2 / (window - run + 2), most_cells)
+    rolling, hashes = Rolling(), WordHashes()
+
+    def texts(block: pa.RecordBatch, skip: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Number, key and word hashes of the rows that take part and have a window."""
+        keys = _key_of(block.column("digest").to_pylist())
+        out = has_bits(keys, *copied.value) if skip else np.zeros(len(keys), bool)
+        for doc_id, key, gone, text in zip(block.column("doc_id").to_pylist(), keys.tolist(), out.tolist(),
+                                           utf8(block)):
+            words = [] if gone else text.split()
+            if len(words) >= window:
+                yield doc_id, key >> 48, hashes.of(words)
+
+    def counter(skip: bool):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Cells(cells)
+            for block in blocks(batches):
+                for _, _, h in texts(block, skip):
+                    own.add(np.unique(anchors(h, rolling, window, run)))
+                if own.size >= ANCHORS_HELD:
+                    yield from own.rows()
+            yield from own.rows()
+
+        return count
+
+    counted = single.mapInArrow(counter(True), SPARSE).unionAll(firsts.mapInArrow(counter(False), SPARSE))
+    sent = spark.sparkContext.broadcast(merged_bits(counted, cells, 2))
+
+    def emitter(skip: bool):
+        def emit(block: pa.RecordBatch) -> dict | None:
+            out: dict[str, list] = {"h1": [], "h2": [], "doc_id": [], "place": []}
+            for doc_id, key, h in texts(block, skip):
+                sums = rolling.sums(h)
+                anchor = smallest(rolling.runs(sums, run), window - run + 1)
+                at = np.flatnonzero(has_bits(anchor, sent.value, cells))
+                if len(at):
+                    out["h1"].append(rolling.runs(sums, window)[at].view(np.int64))
+                    other = rolling.runs(rolling.sums(h, 1), window, 1)[at]
+                    out["h2"].append((other >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    out["doc_id"].append(np.full(len(at), doc_id, np.int64))
+                    out["place"].append(at + (key << 32))
+            return {k: np.concatenate(v) for k, v in out.items()} if out["h1"] else None
+
+        return emit
+
+    # ``place``: the number of the first word, above it 16 bits of the text, which tell rows that
+    # share an id apart
+    ddl = "h1 LONG, h2 INT, doc_id LONG, place LONG"
+    windows = map_blocks(single, emitter(True), ddl).unionAll(map_blocks(firsts, emitter(False), ddl))
+    # Stored, so that the join below has plain exchanges, which can be split where a window is hot.
+    groups = scratch.save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                          .filter("first < last").select("h1", "h2", "first"))
     starts = (windows.join(groups, ["h1", "h2"]).filter("doc_id > first")
               .groupBy("doc_id", F.shiftright("place", 32).alias("key"))
               .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))
-    return (docs.select("doc_id", "text", _key().alias("key"))
-            .join(starts, ["doc_id", "key"], "left").select("doc_id", "text", "starts"))
+    marks = (starts.withColumn("copy", F.lit(False)).unionByName(later.select(
+        "doc_id", _mark(F.hex("digest")).alias("key"), F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()))
+    out = (docs.select("doc_id", "text", _mark(F.md5(F.col("text").cast("binary"))).alias("key"))
+           .join(marks, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "copy"))
+    out._scratch = scratch
+    return out
 
 
 def removed(starts: list[int] | None, n: int, window: int) -> np.ndarray:
@@ -206,23 +282,25 @@ def removed(starts: list[int] | None, n: int, window: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST_CELLS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words that stay, joined by blanks."""
     def cut(block: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        for text, starts in zip(utf8(block), block.column("starts").to_pylist()):
+        for text, starts, copy in zip(utf8(block), block.column("starts").to_pylist(), block.column("copy").to_pylist()):
             words = text.split() if text else []
             gone = removed(starts, len(words), window)
+            if copy and len(words) >= window:
+                gone[:] = True
             out["n_words"].append(len(words))
             out["n_removed"].append(int(gone.sum()))
             out["kept"].append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any()
                                else b" ".join(words))
         return {"doc_id": block.column("doc_id"), **out, "kept": pa.array(out["kept"], pa.binary())}
 
-    return map_blocks(find_repeats(docs, window), cut, "doc_id LONG, n_words LONG, n_removed LONG, kept STRING")
+    return map_blocks(find_repeats(docs, window, most_cells=most_cells), cut, "doc_id LONG, n_words LONG, n_removed LONG, kept STRING")
 
 
-def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removal_report(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST_CELLS) -> DataFrame:
     """Per row: words, removed words, and the digest of what is kept."""
-    return remove_repeats(docs, window).select(
+    return remove_repeats(docs, window, most_cells).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -107,14 +107,11 @@ def test_repeats(docs, rows, no_docs):
     assert substrings.removal_report(no_docs).count() == 0
 
 
-def test_repeats_with_a_crowded_sketch(spark, docs, rows, monkeypatch):
+def test_repeats_with_a_crowded_sketch(docs, rows):
     """Few cells: nearly all windows pass the prefilter, the result is the same."""
-    monkeypatch.setattr(substrings, "LEAST_CELLS", 1 << 10)
-    monkeypatch.setattr(substrings, "MOST_CELLS", 1 << 10)
-    monkeypatch.setattr(substrings, "RANGE", 1 << 8)
-    monkeypatch.setattr(substrings, "ANCHORS_HELD", 100)
     want = plain.repeats([(r[0], r[1]) for r in rows], 20)
-    assert got(substrings.removal_report(docs, 20), "doc_id", "n_words", "n_removed", "kept_sha256") == as_set(want)
+    out = substrings.removal_report(docs, 20, most_cells=1 << 10)
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == as_set(want)
 
 
 def test_token_counts(spark, docs, rows, no_docs, tmp_path):
