@@ -20,7 +20,7 @@ from invoicefields.llm.common import Scratch
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 #: Documents in one range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4096
 SEED = 11
 
 
