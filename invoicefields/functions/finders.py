@@ -52,12 +52,13 @@ def _int_after(text: Column, label: str) -> Column:
             .try_cast("bigint"),
         )
 
-    return let(F.regexp_extract(text, chain, 0), lambda found: F.when(found != "", value(found)))
+    return let(F.regexp_extract(text, chain, 0), lambda found: F.when(found != "", F.struct(value(found).alias("v"))))
 
 
 def int_after_label(text: Column, labels: Sequence[str]) -> Column:
-    """Integer after ``label:``.  A label printed n times takes the n-th part of the digits."""
-    return F.coalesce(*[_int_after(text, label) for label in labels])
+    """Integer after ``label:``.  A label printed n times takes the n-th part of the digits.  The first
+    label with a number decides; a number beyond BIGINT is NULL, and no later label answers for it."""
+    return F.coalesce(*[_int_after(text, label) for label in labels])["v"]
 
 
 def _number_run_after(text: Column, label: str) -> Column:
@@ -75,7 +76,9 @@ def weight_after_label(text: Column, labels: Sequence[str]) -> Column:
 
 
 def float_before_marker(text: Column, marker: str) -> Column:
-    run = F.regexp_extract(text, rf"{ANY_CASE}([0-9][0-9.,\s]+)\s*{marker}", 1)
+    """``marker`` must not start with a digit, separator or blank: then a match ends with its run, and
+    of the starts in a run only the first digit has to be tried."""
+    run = F.regexp_extract(text, rf"{ANY_CASE}(?<![0-9.,\s])[.,\s]*+([0-9][0-9.,\s]++){marker}", 1)
     return let(run, parse_number)
 
 

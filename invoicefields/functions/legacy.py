@@ -39,7 +39,7 @@ def float_after_label_v17(text: Column, labels: Sequence[str]) -> Column:
 
 
 def float_before_marker_v17(text: Column, marker: str) -> Column:
-    return _plain_float(F.regexp_extract(text, rf"{ANY_CASE}([0-9][0-9.]+)\s*{marker}", 1))
+    return _plain_float(F.regexp_extract(text, rf"{ANY_CASE}(?<![0-9.])\.*+([0-9][0-9.]++)\s*+{marker}", 1))
 
 
 def invoice_no_v17(text: Column, file_stem: Column) -> Column:

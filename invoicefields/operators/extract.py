@@ -13,24 +13,14 @@ UNREADABLE = "unreadable text"
 NAMELESS = "no file name"
 
 
-def assemble_pages(pages: DataFrame, keys: list[str], page_no: str = "page_no", text: str = "text",
-                   block: int = 256) -> DataFrame:
+def assemble_pages(pages: DataFrame, keys: list[str], page_no: str = "page_no", text: str = "text") -> DataFrame:
     """Pages into documents: page texts in page order, joined by line ends, missing ones empty.
-
-    Two steps, so that the pages of a very long document are sorted and joined as blocks in
-    many tasks and only its finished blocks meet in one row.
-    """
+    One exchange; the document is one row, so its pages meet in one task in any case."""
     page = F.struct(F.col(page_no).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def joined(sorted_pages):
-        return F.array_join(F.transform(sorted_pages, lambda x: x["t"]), "\n")
-
-    blocks = (
-        pages.groupBy(*keys, F.floor(F.col(page_no) / block).alias("_block"))
-        .agg(F.array_sort(F.collect_list(page)).alias("_pages"))
-        .select(*keys, F.struct(F.col("_block").alias("p"), joined(F.col("_pages")).alias("t")).alias("_text"))
-    )
-    return blocks.groupBy(*keys).agg(joined(F.array_sort(F.collect_list("_text"))).alias("text"))
+    pages_in_order = F.array_sort(F.collect_list(page))
+    return pages.groupBy(*keys).agg(pages_in_order.alias("_pages")).select(
+        *keys, F.array_join(F.transform("_pages", lambda x: x["t"]), "\n").alias("text"))
 
 
 def select_documents(documents: DataFrame, exclude_cmr: bool = False,

@@ -245,11 +245,11 @@ def batch_report(spark, sf):
 
 
 def batch_report_total_row(spark, sf):
-    return batch_report(spark, sf).filter("is_total")
+    return report.batch_report(invoice_fields(spark, sf)).filter("is_total")
 
 
 def batch_report_v17(spark, sf):
-    return report.batch_report_v17(stored(v17_fields(spark, sf))).filter("is_total")
+    return report.batch_report_v17(v17_fields(spark, sf)).filter("is_total")
 
 
 # --- admission --------------------------------------------------------------------------------

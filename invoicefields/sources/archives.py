@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,34 +13,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from invoicefields import schemas
-from invoicefields.operators.admission import is_admissible_member
+from invoicefields.operators.admission import archive_verdicts, is_admissible_member
 
 ROWS_PER_FRAME = 256
 BYTES_PER_FRAME = 32 << 20
 
 
-def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame:
+def expand_archives(archives: DataFrame, with_content: bool = True, only_documents: bool = False) -> DataFrame:
     """``archive, content`` into member rows.
 
-    What is no ZIP gives one row with ``is_zip`` false, an empty ZIP one row without a name.
+    What is no ZIP gives one row with ``is_zip`` false, as does an archive whose directory is
+    damaged; an empty ZIP gives one row without a name.  A member that cannot be unpacked
+    (checksum, encryption, method) has no content and says why in ``error``.
     Members leave the task in frames of bounded size; without ``with_content`` only the
-    directory of the archive is read and nothing is unpacked.
+    directory of the archive is read, with ``only_documents`` only documents are unpacked.
     """
-    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content"]
+    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content", "error"]
+
+    def unpacked(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        wanted = with_content and not info.is_dir() and (not only_documents or _may_be_document(info.filename))
+        try:
+            return (archive.read(info) if wanted else None), None
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, OSError,
+                EOFError, ValueError) as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def members(name: str, data: bytes) -> Iterator[tuple]:
         stream = io.BytesIO(data or b"")
-        if not zipfile.is_zipfile(stream):
-            yield (name, False, None, None, None, None)
+        try:
+            archive = zipfile.ZipFile(stream) if zipfile.is_zipfile(stream) else None
+        except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):
+            archive = None
+        if archive is None:
+            yield (name, False, None, None, None, None, None)
             return
-        with zipfile.ZipFile(stream) as archive:
+        with archive:
             listing = archive.infolist()
             if not listing:
-                yield (name, True, None, None, None, None)
+                yield (name, True, None, None, None, None, None)
             for info in listing:
-                unpack = with_content and not info.is_dir()
-                yield (name, True, info.filename, info.is_dir(), info.file_size,
-                       archive.read(info) if unpack else None)
+                yield (name, True, info.filename, info.is_dir(), info.file_size, *unpacked(archive, info))
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -46,7 +60,7 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
             for name, data in zip(frame["archive"], frame["content"]):
                 for row in members(name, data):
                     rows.append(row)
-                    held += len(row[-1] or b"")
+                    held += len(row[5] or b"")
                     if len(rows) >= ROWS_PER_FRAME or held >= BYTES_PER_FRAME:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
@@ -56,6 +70,14 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
     return archives.select("archive", "content").mapInPandas(expand, schemas.MEMBERS)
 
 
+def _may_be_document(name: str) -> bool:
+    """True for all that ``is_admissible_member`` takes, so nothing it takes is left packed."""
+    return name.lower().endswith(".pdf")
+
+
 def archive_documents(members: DataFrame) -> DataFrame:
-    """The members that count as documents."""
-    return members.filter(is_admissible_member(F.col("member_name"), F.col("is_dir")))
+    """The members that count as documents, of archives of which none leaves its folder.  A document
+    without content (``error``) stays, to be reported as rejected."""
+    admissible = members.filter(is_admissible_member(F.col("member_name"), F.col("is_dir")))
+    escaping = archive_verdicts(members).filter("escapes").select("archive")
+    return admissible.join(escaping, "archive", "left_anti").select(*members.columns)

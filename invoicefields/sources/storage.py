@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is named
-    (a single machine, as in tests)."""
+    """The folder the cluster names for checkpoints.  Only a session on a single machine may lack
+    the setting; it gets a folder in its warehouse.  Elsewhere executors would each write to a disk
+    of their own, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="invoicefields-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -29,10 +31,27 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _at_end(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _at_end(spark: SparkSession, path: str) -> None:
+    """Deletes the path when the session's process ends."""
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there anything at the path, on whatever storage it names?"""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where) and files.getFileStatus(where).isDirectory()

@@ -219,3 +219,79 @@ def test_latest_status_takes_the_last_write(spark):
     row = status.latest_status(log).first()
     assert row.state == "DONE" and row.started_at.timestamp() == 1
     assert {r.started_at.timestamp() for r in status.with_first_start(log).collect()} == {1}
+
+
+def test_damaged_archives_and_members(spark):
+    import io
+    import zipfile
+
+    from invoicefields.sources.archives import archive_documents, expand_archives
+
+    def made(**files):
+        stream = io.BytesIO()
+        with zipfile.ZipFile(stream, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        return stream.getvalue()
+
+    bad_sum = bytearray(made(**{"a.pdf": "hello world"}))
+    at = bytes(bad_sum).index(b"hello world")
+    bad_sum[at] ^= 1
+    cut = made(**{"b.pdf": "x" * 50})
+    archives = spark.createDataFrame(
+        [("sum", bytes(bad_sum)), ("cut", cut[:40] + cut[-22:]), ("escapes", made(**{"a.pdf": "1", "../x.pdf": "2"})),
+         ("good", made(**{"a.pdf": "3", "n.txt": "4"})), ("none", None)], "archive string, content binary")
+    members = expand_archives(archives, only_documents=True)
+    rows = {(r.archive, r.member_name): r for r in members.collect()}
+    assert rows["sum", "a.pdf"].content is None and "BadZipFile" in rows["sum", "a.pdf"].error
+    assert bytes(rows["good", "a.pdf"].content) == b"3" and rows["good", "n.txt"].content is None
+    assert not rows["none", None].is_zip
+    assert sorted((r.archive, r.member_name) for r in archive_documents(members).collect() if r.archive != "cut") == [
+        ("good", "a.pdf"), ("sum", "a.pdf")]
+
+
+def test_paths_given_by_hand(spark, tmp_path):
+    from invoicefields.sources.files import scan_paths
+
+    for name in ("x.Pdf", "y.PDF", "z.txt"):
+        (tmp_path / name).write_text(name)
+    one = scan_paths(spark, [f"{tmp_path}/x.Pdf", f"{tmp_path}/y.PDF", f"{tmp_path}/z.txt"], case_sensitive=True)
+    assert sorted(r.path.rpartition("/")[2] for r in one.collect()) == ["x.Pdf", "y.PDF"]
+    assert scan_paths(spark, [str(tmp_path)]).count() == 1
+
+
+def test_counts_beyond_bigint(spark):
+    from pyspark.sql import functions as F
+
+    from invoicefields import fixed_values as fv
+    from invoicefields.functions.finders import int_after_label
+    from invoicefields.operators.totals import int_sum
+
+    texts = spark.createDataFrame([("Pallets: 12345678901234567891\nNombre de Palettes: 5",)], "t string")
+    assert texts.select(int_after_label(F.col("t"), fv.PALLET_LABELS)).first()[0] is None
+    sums = spark.createDataFrame([("a", 9 * 10**18), ("a", 9 * 10**18), ("b", 3)], "k string, n long")
+    assert dict(sums.groupBy("k").agg(int_sum("n")).collect()) == {"a": None, "b": 3}
+
+
+def test_long_runs_before_a_marker_stay_cheap(spark):
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from invoicefields.functions.finders import float_before_marker
+    from invoicefields.functions.legacy import float_before_marker_v17
+
+    docs = spark.createDataFrame([("1" * 200_000,), ("1 " * 100_000,)], "t string")
+    start = time.perf_counter()
+    docs.select(float_before_marker(F.col("t"), "KG"), float_before_marker_v17(F.col("t"), "KG")).collect()
+    assert time.perf_counter() - start < 20
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("17.,  KGx\n") for _ in range(14)) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in noise], "t string").select(
+        "t", F.regexp_extract("t", r"(?iU)([0-9][0-9.,\s]+)\s*KG", 1).alias("p"),
+        F.regexp_extract("t", r"(?iU)(?<![0-9.,\s])[.,\s]*+([0-9][0-9.,\s]++)KG", 1).alias("q"),
+        F.regexp_extract("t", r"(?iU)([0-9][0-9.]+)\s*KG", 1).alias("r"),
+        F.regexp_extract("t", r"(?iU)(?<![0-9.])\.*+([0-9][0-9.]++)\s*+KG", 1).alias("s")).collect()
+    assert all(r.p == r.q and r.r == r.s for r in rows) and any(r.p for r in rows) and re
