@@ -50,21 +50,21 @@ def best_paths(nodes: DataFrame, top: int, scratch: Scratch) -> DataFrame:
         plain.join(known, ["conv_id", "parent_id"], "left")
         .select("conv_id", "node_id", F.coalesce("score", F.lit(0.0)).alias("total"),
                 F.when(F.col("there") & (F.col("parent_id") < F.col("node_id")), F.col("parent_id")).alias("up")))
-    levels = [level]
-    while level.filter("up IS NOT NULL").limit(1).count():
-        above = level.select("conv_id", F.col("node_id").alias("up"), F.col("total").alias("more"),
-                             F.col("up").alias("further"))
-        level = scratch.save(level.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node_id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            F.col("further").alias("up")))
-        levels.append(level)
-    parents = levels[0].filter("up IS NOT NULL").select("conv_id", F.col("up").alias("node_id"))
+    # Only nodes that have not met their root are joined; what has met it is looked up as it is.
+    active, done, jumps = level.filter("up IS NOT NULL"), level.filter("up IS NULL"), []
+    while active.limit(1).count():
+        jumps.append(active.select("conv_id", "node_id", "up"))
+        above = done.unionByName(active).select(
+            "conv_id", F.col("node_id").alias("up"), F.col("total").alias("more"), F.col("up").alias("further"))
+        level = scratch.save(active.join(above, ["conv_id", "up"]).select(
+            "conv_id", "node_id", (F.col("total") + F.col("more")).alias("total"), F.col("further").alias("up")))
+        active, done = level.filter("up IS NOT NULL"), done.unionByName(level.filter("up IS NULL"))
+    parents = (jumps[0] if jumps else active).select("conv_id", F.col("up").alias("node_id"))
     best = Window.partitionBy("conv_id").orderBy(F.col("total").desc(), "node_id")
-    paths = (level.join(parents, ["conv_id", "node_id"], "left_anti").withColumn("rank", F.row_number().over(best))
+    paths = (done.join(parents, ["conv_id", "node_id"], "left_anti").withColumn("rank", F.row_number().over(best))
              .filter(F.col("rank") <= top)
              .select("conv_id", F.col("node_id").alias("leaf_id"), "rank", "node_id", F.lit(0).alias("distance")))
-    for k, jump in enumerate(levels[:-1]):
-        reach = jump.filter("up IS NOT NULL").select("conv_id", "node_id", "up")
+    for k, reach in enumerate(jumps):
         paths = scratch.save(paths.unionByName(
             paths.join(reach, ["conv_id", "node_id"]).select(
                 "conv_id", "leaf_id", "rank", F.col("up").alias("node_id"),
