@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     of their own, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
         spark.sparkContext.setCheckpointDir(named)
