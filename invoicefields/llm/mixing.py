@@ -22,6 +22,7 @@ MOST_PASSES = 3
 #: Documents in one range, about.
 RANGE_ROWS = 4096
 SEED = 11
+TURN_BITS = 60
 
 
 def size_of(text: Column) -> Column:
@@ -29,6 +30,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def turn(doc_id: Column, text: Column) -> Column:
+    """A document's place in its source's shuffled order: the first 15 digits of a digest."""
+    named = F.concat_ws("\n", F.lit(str(SEED)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.left(F.md5(named.cast("binary")), F.lit(TURN_BITS // 4)), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size, target`` from ``source, size`` rows.
 
@@ -75,7 +82,7 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.save(docs.select(
         "doc_id", "source", size_of(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(SEED), "doc_id", "text").alias("turn")).withColumn("row", F.monotonically_increasing_id()))
+        turn(F.col("doc_id"), F.col("text")).alias("turn")).withColumn("row", F.monotonically_increasing_id()))
     aims = targets(sized).withColumn("source_no", F.row_number().over(
         Window.orderBy(F.col("source").asc_nulls_last())))
     base = scratch.save(
@@ -84,7 +91,7 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch.free(sized)
     rows, budget = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, rows // RANGE_ROWS - 1).bit_length()
-    bucket = F.shiftrightunsigned("turn", 64 - bits) if bits else F.lit(0).cast("long")
+    bucket = F.shiftright("turn", TURN_BITS - bits)
     queued = running(base, "size", ["source_no"], bucket, ["turn", "doc_id", "size", "row"], "before")
     passes = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1))))
     served = (passes.withColumn("start", F.col("before") + F.col("pass") * F.col("source_size"))
