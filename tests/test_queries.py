@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from invoicefields.plans.oracles import ORACLES
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -33,10 +34,10 @@ def as_rows(columns, rows):
     return sorted(([cell(r[i]) for i in order] for r in rows), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_check_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
-    want = db.execute(entry.oracle_sql()[name])
+    want = db.execute(ORACLES[name])
     want_columns = [d[0] for d in want.description]
     want_rows = as_rows(want_columns, want.fetchall())
     got_rows = as_rows(df.columns, [tuple(r) for r in df.collect()])
