@@ -75,11 +75,13 @@ def has_two_decimals(token: Column) -> Column:
     return F.translate(token, " \u00a0", "").rlike(r"(?d)[.,]\d{2}$")
 
 
-def exact_decimal(value: Column) -> Column:
-    """The double by its shortest decimal text; NULL beyond 28 digits before the point."""
-    return value.try_cast("decimal(38,10)")
-
-
-def fixed_scale(value: Column, scale: int) -> Column:
-    """Rounded half up, as text with ``scale`` places."""
-    return F.round(value, scale).cast(f"decimal(38,{scale})").cast("string")
+def exact_parts(value: Column) -> tuple[Column, Column]:
+    """The double by its shortest decimal text, as its whole part and the rest.  NULL beyond 28 digits
+    before the point.  A double below a milliard has room for 28 places, a larger one needs 8 at most,
+    so the parts hold all digits and so do their sums."""
+    small = F.abs(value) < 1e9
+    near, far = value.try_cast("decimal(38,28)"), value.try_cast("decimal(38,10)")
+    whole = F.when(small, F.floor(near).cast("decimal(38,0)")).otherwise(F.floor(far).cast("decimal(38,0)"))
+    rest = F.when(small, F.pmod(near, F.lit(1)).cast("decimal(29,28)")).otherwise(
+        F.pmod(far, F.lit(1)).cast("decimal(29,28)"))
+    return whole, rest

@@ -109,6 +109,18 @@ SUMS = f"""CAST(coalesce(sum(pallets), 0) AS BIGINT) AS pallets, CAST(coalesce(s
 TOTAL_ROW = f"""SELECT batch_id, true AS is_total, 'TOTAL' AS file, CAST(NULL AS VARCHAR) AS invoice_no, {SUMS}
   FROM rows GROUP BY batch_id"""
 
+BATCH_SUMMARY = f"""{WITH_ROWS}
+SELECT batch_id, count(*) AS count_files, count(gross_weight) AS count_with_gross_weight,
+  count(total_invoice) AS count_with_total_invoice, {fixed('gross_weight', 4)} AS total_gross_weight,
+  {fixed('total_invoice', 2)} AS total_total_invoice
+FROM rows GROUP BY batch_id"""
+
+
+def summed(x: str, scale: int) -> str:
+    """The sum of doubles by their shortest decimal text."""
+    return f"CAST(CAST(round(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18))), {scale}) AS DECIMAL(38,{scale})) AS VARCHAR)"
+
+
 # How a double is written: 191.0, not 191; the amounts stay below 10 million.
 def as_java(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
@@ -258,11 +270,7 @@ FROM orders""",
 SELECT o_orderkey, CAST({ORDER_AMOUNT} AS DOUBLE) AS us, {EU_V17} AS eu, us AS comma FROM orders""",
     "batch_totals": f"{WITH_ROWS} SELECT batch_id, count(*) AS count_files, {SUMS} FROM rows GROUP BY batch_id",
     "grand_totals": f"{WITH_ROWS} SELECT count(*) AS count_files, {SUMS} FROM rows",
-    "batch_summary": f"""{WITH_ROWS}
-SELECT batch_id, count(*) AS count_files, count(gross_weight) AS count_with_gross_weight,
-  count(total_invoice) AS count_with_total_invoice, {fixed('gross_weight', 4)} AS total_gross_weight,
-  {fixed('total_invoice', 2)} AS total_total_invoice
-FROM rows GROUP BY batch_id""",
+    "batch_summary": BATCH_SUMMARY,
     "batch_report": f"""{WITH_ROWS}
 SELECT batch_id, is_total, file, invoice_no, pallets, boxes, gross_weight, net_weight, total_invoice
 FROM (
@@ -272,11 +280,26 @@ FROM (
 )""",
     "batch_report_total_row": f"{WITH_ROWS} {TOTAL_ROW}",
     "batch_report_v17": f"""{WITH_V17}
+SELECT batch_id, false AS is_total, file, invoice_no, pallets, boxes, {as_java('gross_weight')} AS gross_weight,
+  {as_java('taxable_amount')} AS taxable_amount, {as_java('total_invoice')} AS total_invoice FROM rows
+UNION ALL
 SELECT batch_id, true AS is_total, 'TOTAL' AS file, CAST(NULL AS VARCHAR) AS invoice_no,
   CAST(coalesce(sum(pallets), 0) AS BIGINT) AS pallets, CAST(coalesce(sum(boxes), 0) AS BIGINT) AS boxes,
   {fixed('gross_weight', 4)} AS gross_weight, {fixed('taxable_amount', 2)} AS taxable_amount,
   {fixed('total_invoice', 2)} AS total_invoice
 FROM rows GROUP BY batch_id""",
+    "exact_totals": f"""
+SELECT printf('B%02d', o_custkey % 50) AS batch_id, count(*) AS count_files, count(*) AS pallets, 2 * count(*) AS boxes,
+  {summed('o_totalprice / 3', 4)} AS gross_weight, {summed('o_totalprice / 7e6', 4)} AS net_weight,
+  {summed('o_totalprice * 1e7 / 3', 2)} AS total_invoice
+FROM orders GROUP BY o_custkey % 50""",
+    "detail_json_roundtrip": f"""{WITH_ROWS}
+SELECT batch_id, file, invoice_no, pallets, boxes, gross_weight, net_weight, total_invoice FROM rows""",
+    "summary_json_roundtrip": BATCH_SUMMARY,
+    "rejected_roundtrip": """
+SELECT source AS batch_id, CASE WHEN doc_id % 13 = 0 THEN '/' ELSE printf('DM%06d.pdf', doc_id) END AS file,
+  CASE WHEN doc_id % 7 = 0 OR text IS NULL THEN 'unreadable text' ELSE 'no file name' END AS reason, count(*) AS documents
+FROM documents WHERE doc_id % 7 = 0 OR doc_id % 13 = 0 OR text IS NULL GROUP BY ALL""",
     "admission_decision": f"WITH {UPLOADS}, {DECIDED} SELECT * FROM decided",
     "selection_precheck": f"""WITH {UPLOADS},
 per_upload AS (
@@ -315,8 +338,8 @@ SELECT batch_id, count(*) AS files, count(*) FILTER (WHERE ends_with(rel_path, '
   max(ts) AS last_change, bool_or(rel_path = '_DONE') AS has_marker
 FROM files GROUP BY batch_id""",
     "batch_ready": f"""WITH {EVENT_FILES}
-SELECT batch_id, bool_or(rel_path = '_DONE') OR TIMESTAMP '2024-01-31 00:00:00' - max(ts) >= INTERVAL 6 HOUR AS ready
-FROM files WHERE user_id % 3 <> 0 OR rel_path <> '_DONE' GROUP BY batch_id""",
+SELECT batch_id, bool_or(rel_path = '_DONE' AND user_id % 3 <> 0) OR TIMESTAMP '2024-01-31 00:00:00' - max(ts) >= INTERVAL 6 HOUR AS ready
+FROM files GROUP BY batch_id""",
     "batch_sessions": """
 WITH paused AS (
   SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS starts, event_id

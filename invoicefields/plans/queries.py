@@ -20,9 +20,10 @@ from invoicefields.operators.extract import (
 from invoicefields.operators.legacy import extract_invoices_v17, select_documents_v17
 from invoicefields.plans import corpus
 from invoicefields.plans.corpus import eu_format, invoice_numbers, money, table, us_format
+from invoicefields.sources import sinks
 from invoicefields.sources.archives import archive_documents, expand_archives
 from invoicefields.sources.files import with_batch, with_rank
-from invoicefields.sources.storage import stored
+from invoicefields.sources.storage import new_folder, stored
 from invoicefields.streaming import closing
 from invoicefields.streaming.drain import drained
 
@@ -32,6 +33,16 @@ STATUS_PREFIX = "/api/batches"
 FIELDS = ["file", "invoice_no", "pallets", "boxes", "gross_weight", "net_weight", "total_invoice"]
 
 
+DETAIL = (
+    "batch_id STRING, file STRING, invoice_no STRING, pallets BIGINT, boxes BIGINT, gross_weight DOUBLE, "
+    "net_weight DOUBLE, total_invoice DOUBLE"
+)
+SUMMARY = (
+    "batch_id STRING, count_files BIGINT, count_with_gross_weight BIGINT, count_with_total_invoice BIGINT, "
+    "total_gross_weight STRING, total_total_invoice STRING"
+)
+
+
 def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -249,7 +260,47 @@ def batch_report_total_row(spark, sf):
 
 
 def batch_report_v17(spark, sf):
-    return report.batch_report_v17(v17_fields(spark, sf)).filter("is_total")
+    return report.batch_report_v17(stored(v17_fields(spark, sf)))
+
+
+def exact_totals(spark, sf):
+    """Amounts of up to 17 digits, added without loss and rounded once."""
+    price = F.col("o_totalprice")
+    rows = table(spark, sf, "orders").select(
+        F.format_string("B%02d", F.col("o_custkey") % 50).alias("batch_id"),
+        F.lit(1).alias("pallets"), F.lit(2).alias("boxes"), (price / 3).alias("gross_weight"),
+        (price / 7e6).alias("net_weight"), (price * 1e7 / 3).alias("total_invoice"),
+    )
+    return totals.batch_totals(rows)
+
+
+def _written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    path = new_folder(spark, name)
+    write(path)
+    return path
+
+
+def detail_json_roundtrip(spark, sf):
+    """The detail files of all batches, written and read back."""
+    path = _written(spark, "detail", lambda p: sinks.write_detail_json(invoice_fields(spark, sf), p))
+    return spark.read.schema(DETAIL).json(path)
+
+
+def summary_json_roundtrip(spark, sf):
+    path = _written(spark, "summary", lambda p: sinks.write_summary_json(batch_summary(spark, sf), p))
+    return spark.read.schema(SUMMARY).json(path)
+
+
+def rejected_roundtrip(spark, sf):
+    """Rejected documents as they are written by batch: unreadable ones and ones without a name."""
+    docs = table(spark, sf, "documents").select(
+        F.col("source").alias("batch_id"),
+        F.when(F.col("doc_id") % 13 == 0, F.lit("/")).otherwise(corpus.file_name(F.col("doc_id"))).alias("file"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"),
+    )
+    path = _written(spark, "rejected", lambda p: sinks.write_rejected(split_rejected(docs)[1], p))
+    back = spark.read.schema("file STRING, reason STRING, batch_id STRING").parquet(path)
+    return back.groupBy("batch_id", "file", "reason").agg(F.count("*").alias("documents"))
 
 
 # --- admission --------------------------------------------------------------------------------
@@ -383,8 +434,10 @@ def batch_activity(spark, sf):
 
 
 def batch_ready(spark, sf):
-    """Every third user never signs up, so that quiet time decides for some batches."""
-    files = _event_files(spark, sf).filter((F.col("user_id") % 3 != 0) | ~F.col("path").rlike(r"/u\d+/_DONE\z"))
+    """The sign-up of every third user is no marker but a file, so that quiet time decides for them."""
+    no_marker = (F.col("user_id") % 3 == 0) & F.col("path").rlike(r"/u\d+/_DONE\z")
+    files = _event_files(spark, sf).withColumn(
+        "path", F.when(no_marker, F.concat("path", F.lit(".txt"))).otherwise(F.col("path")))
     activity = batches.batch_activity(with_batch(files, "/data/inbox"))
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     return batches.batch_ready(activity, as_of, QUIET_SECONDS).select("batch_id", "ready")
@@ -602,7 +655,8 @@ QUERIES = {
         float_before_marker, total_tier1, total_tier2, total_tier3, total_tier4, total_cascade,
         euro_amounts_last, reduce_repetition, number_tokens, weight_tokens, amount_tokens_v17,
         batch_totals, grand_totals, batch_summary, batch_report, batch_report_total_row,
-        batch_report_v17, admission_decision, selection_precheck, upload_responses,
+        batch_report_v17, exact_totals, detail_json_roundtrip, summary_json_roundtrip, rejected_roundtrip,
+        admission_decision, selection_precheck, upload_responses,
         last_of_each_name, archive_members, archive_verdicts, archive_expansion, archive_validity,
         batch_activity, batch_ready, batch_sessions, batch_id_roundtrip, path_sort_rank,
         status_latest, status_first_start, status_with_default, status_seed_missing,

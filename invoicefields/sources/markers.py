@@ -7,10 +7,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARKED = "batch_id STRING, marked_at LONG"
+DAY_MICROS = 86_400_000_000
+
+
+def day_of(micros: Column) -> Column:
+    """Number of the day (UTC) of a moment in microseconds."""
+    return F.floor(micros / DAY_MICROS).cast("bigint")
 
 
 def marked_batches(batches: DataFrame, root: str, marker: str) -> DataFrame:
@@ -32,5 +38,6 @@ def marker_rows(marked: DataFrame, marker: str) -> DataFrame:
     """Markers as landed files without text."""
     return marked.select(
         F.lit(marker).alias("rel_path"), F.timestamp_micros("marked_at").alias("modificationTime"),
-        F.lit(None).cast("string").alias("text"), F.current_timestamp().alias("landed_at"), "batch_id",
+        F.lit(None).cast("string").alias("text"), F.current_timestamp().alias("landed_at"),
+        day_of(F.unix_micros(F.current_timestamp())).alias("landed_day"), "batch_id",
     )

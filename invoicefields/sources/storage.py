@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the session's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _at_end(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and read it back.
 
@@ -28,10 +35,9 @@ def stored(df: DataFrame) -> DataFrame:
     the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stored")
     schema = df.schema
     df.write.parquet(path)
-    _at_end(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from invoicefields.sources.storage import shared_folder
+from invoicefields.sources.storage import new_folder
 
 
 def drained(stream: DataFrame, has_timers: bool = False) -> DataFrame:
     """``has_timers``: the stream waits for the wall clock.  It would keep triggering without
     input, so it is run for one trigger, which takes all the input there is."""
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    place = new_folder(spark, "drained")
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{place}/checkpoint").trigger(**({"once": True} if has_timers else {"availableNow": True})).start(f"{place}/table")

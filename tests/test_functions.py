@@ -67,7 +67,6 @@ def test_amounts_of_the_earlier_version(spark):
 def test_units_and_decimals(spark):
     check(spark, numbers.strip_unit, {"191kg": "191", "191KGS": "191", "5g": "5", "kg5": "kg5"})
     check(spark, numbers.has_two_decimals, {"12.50": True, "12.50 \n": True, "12.5": False, "1,50": True, "12.50\r": False})
-    assert evaluate(spark, lambda v: numbers.fixed_scale(v, 4), ["12.3"], "string") == ["12.3000"]
 
 
 def test_normalised_text(spark):

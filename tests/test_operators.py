@@ -295,3 +295,25 @@ def test_long_runs_before_a_marker_stay_cheap(spark):
         F.regexp_extract("t", r"(?iU)([0-9][0-9.]+)\s*KG", 1).alias("r"),
         F.regexp_extract("t", r"(?iU)(?<![0-9.])\.*+([0-9][0-9.]++)\s*+KG", 1).alias("s")).collect()
     assert all(r.p == r.q and r.r == r.s for r in rows) and any(r.p for r in rows) and re
+
+
+def test_amounts_are_rounded_once(spark):
+    def total(*amounts):
+        rows = spark.createDataFrame([("b", float(a)) for a in amounts], "batch_id string, x double")
+        return rows.agg(totals.decimal_sum("x", 4).alias("t")).first().t
+
+    assert total(0.00004999999999999) == "0.0000" and total(0.00005) == "0.0001"
+    assert total(0.00002499999999999, 0.000025) == "0.0000" and total(0.000025, 0.000025) == "0.0001"
+    assert total(1e27, 1234567890.125, 0.00005) == "1000000000000000001234567890.1251"
+    assert total(999999999.9999999, 0.0000001) == "1000000000.0000"
+    assert total(1e28) is None and total(6e27, 6e27) is None and total(float("nan")) is None
+
+
+def test_report_is_in_order_of_paths(spark):
+    from invoicefields.operators.extract import extract_invoices
+    from invoicefields.operators.report import in_report_order
+
+    docs = spark.createDataFrame([("b", f, "Boxes: 1") for f in ("b.pdf", "c/a.pdf", "a/z.pdf")],
+                                 "batch_id string, file string, text string")
+    rows = extract_invoices(docs.withColumn("path", F.col("file")), keep=("batch_id", "path"))
+    assert [r.file for r in in_report_order(batch_report(rows)).collect()] == ["z.pdf", "b.pdf", "a.pdf", "TOTAL"]
