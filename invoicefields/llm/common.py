@@ -37,22 +37,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.saved = 0
         root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self.files = root.getFileSystem(spark._jsc.hadoopConfiguration())
         self.files.deleteOnExit(root)
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.saved}"
+        self.saved += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self
+        out._scratch, out._stored_at = self, path
         return out
 
     def free(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
             self.files.delete(path, True)
 
 

@@ -181,3 +181,18 @@ def test_mixing(docs, rows, no_docs):
         assert taken == int(want[source] + 1e-9), (source, taken, want[source])
     assert as_set(map(tuple, mixing.mix(docs.repartition(2)).collect())) == as_set(map(tuple, out))
     assert mixing.mix(no_docs).count() == 0
+
+
+def test_stored_tables_have_folders_of_their_own(spark):
+    import gc
+
+    from invoicefields.llm.common import Scratch
+
+    scratch, seen = Scratch(spark, "own"), set()
+    kept = scratch.save(spark.range(3))
+    for _ in range(6):  # tables that nobody holds any more must not lend their place to the next one
+        seen.add(scratch.save(spark.range(1))._stored_at)
+        gc.collect()
+    assert len(seen) == 6 and kept._stored_at not in seen
+    scratch.free(scratch.save(spark.range(2)))
+    assert kept.count() == 3
