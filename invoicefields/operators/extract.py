@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from invoicefields import fixed_values as fv
@@ -30,11 +30,16 @@ def select_documents(documents: DataFrame, exclude_cmr: bool = False,
     return kept.filter(~is_cmr(base_name(F.col("file")))) if exclude_cmr else kept
 
 
+def rejection(file: str = "file", text: str = "text") -> Column:
+    """Why a document cannot be read; NULL if it can."""
+    return F.when(F.col(text).isNull(), UNREADABLE).when(
+        F.coalesce(base_name(F.col(file)), F.lit("")) == "", NAMELESS
+    )
+
+
 def split_rejected(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that can be read, rows ``file, reason`` of those that cannot)."""
-    reason = F.when(F.col("text").isNull(), UNREADABLE).when(
-        F.coalesce(base_name(F.col("file")), F.lit("")) == "", NAMELESS
-    )
+    reason = rejection()
     kept = documents.filter(reason.isNull())
     keys = [c for c in ("batch_id", "run_id") if c in documents.columns]
     rejected = documents.filter(reason.isNotNull()).select(*keys, "file", reason.alias("reason"))

@@ -25,10 +25,11 @@ def expand_archives(archives: DataFrame, with_content: bool = True, only_documen
     What is no ZIP gives one row with ``is_zip`` false, as does an archive whose directory is
     damaged; an empty ZIP gives one row without a name.  A member that cannot be unpacked
     (checksum, encryption, method) has no content and says why in ``error``.
+    ``member_no`` counts in the order of the archive.
     Members leave the task in frames of bounded size; without ``with_content`` only the
     directory of the archive is read, with ``only_documents`` only documents are unpacked.
     """
-    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content", "error"]
+    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content", "error", "member_no"]
 
     def unpacked(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         wanted = with_content and not info.is_dir() and (not only_documents or _may_be_document(info.filename))
@@ -45,14 +46,14 @@ def expand_archives(archives: DataFrame, with_content: bool = True, only_documen
         except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):
             archive = None
         if archive is None:
-            yield (name, False, None, None, None, None, None)
+            yield (name, False, None, None, None, None, None, None)
             return
         with archive:
             listing = archive.infolist()
             if not listing:
-                yield (name, True, None, None, None, None, None)
-            for info in listing:
-                yield (name, True, info.filename, info.is_dir(), info.file_size, *unpacked(archive, info))
+                yield (name, True, None, None, None, None, None, None)
+            for no, info in enumerate(listing):
+                yield (name, True, info.filename, info.is_dir(), info.file_size, *unpacked(archive, info), no)
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
