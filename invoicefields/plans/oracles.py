@@ -213,6 +213,16 @@ ORDER_KEY = text_of("o_orderkey")
 EU_V17 = f"""CASE WHEN {ORDER_AMOUNT} < 1000 THEN CAST({ORDER_AMOUNT} AS DOUBLE) WHEN {ORDER_AMOUNT} < 1000000
   THEN CAST(CAST({ORDER_AMOUNT} * 100 AS BIGINT) AS DOUBLE) / 100000 END"""
 
+PAGE_FILES = """
+files AS (
+  SELECT page_id, page_id % 6 AS kind,
+    CASE WHEN page_id % 6 = 5 THEN concat('m', page_id) ELSE concat('b', page_id % 20) END AS batch_id,
+    CASE page_id % 6 WHEN 0 THEN concat(page_id, '.pdf') WHEN 1 THEN concat('_', page_id, '.pdf') WHEN 2 THEN concat('.x/', page_id, '.PDF')
+      WHEN 3 THEN concat('sub/', page_id, '.pdf') WHEN 4 THEN concat(page_id, '.txt') ELSE '_DONE' END AS rel_path,
+    CASE WHEN page_id % 6 IN (3, 5) THEN '' ELSE coalesce(html, '') END AS text
+  FROM pages
+)"""
+
 ORACLES = {
     "invoice_fields": f"{WITH_ROWS} SELECT * FROM rows",
     "page_fields": f"{WITH_ROWS} SELECT * FROM rows",
@@ -421,4 +431,36 @@ FROM numbered GROUP BY user_id, session_no
 HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "stream_status": f"""WITH {LOG}
 SELECT batch_id, seq, state, stage, ts AS updated_at FROM log WHERE state IN ('DONE', 'ERROR')""",
+    "inbox_scan": f"WITH {PAGE_FILES} SELECT batch_id, rel_path, strlen(text) AS size FROM files",
+    "inbox_batches": f"""WITH {PAGE_FILES}
+SELECT batch_id, count(*) AS files, count(*) FILTER (WHERE kind IN (0, 1, 3)) AS total_files, bool_or(kind = 5) AS has_marker
+FROM files GROUP BY batch_id""",
+    "inbox_documents": f"""WITH {PAGE_FILES}
+SELECT batch_id, rel_path AS file, CASE WHEN text <> '' THEN md5(replace(text, chr(12), chr(10))) END AS digest,
+  CASE WHEN text = '' THEN 'unreadable text' END AS reason
+FROM files WHERE kind IN (0, 1, 3)""",
+    "inbox_resend": f"""WITH {PAGE_FILES}
+SELECT batch_id, rel_path, strlen(text) + 1 AS size FROM files WHERE page_id % 5 = 0""",
+    "batch_run": f"""{WITH_ROWS},
+documents AS (
+  SELECT *, CAST(replace(invoice_no, 'DM', '') AS BIGINT) % 11 = 0 AS empty, CAST(batch_id[2:] AS BIGINT) % 3 = 0 AS marked FROM rows
+)
+SELECT batch_id, 'processed' AS outcome, CASE WHEN bool_or(marked) THEN 'marker' ELSE 'quiet' END AS reason, count(*) AS total_files,
+  count(*) FILTER (WHERE empty) AS rejected_files, CAST(NULL AS VARCHAR) AS error, true AS notified, 'DONE' AS state,
+  CAST(count(*) AS INTEGER) AS processed_files, count(*) FILTER (WHERE NOT empty) AS count_files,
+  CAST(CAST(round(coalesce(sum(CAST(total_invoice AS DECIMAL(28,10))) FILTER (WHERE NOT empty), 0), 2) AS DECIMAL(38,2)) AS VARCHAR) AS total_total_invoice
+FROM documents GROUP BY batch_id
+UNION ALL
+SELECT concat('N', n_nationkey), 'error', 'marker', 0, 0, 'Extractor falló (rc=2).', false, 'ERROR', 0, NULL, NULL FROM nation""",
+    "upload_decisions": f"""
+SELECT CAST(page_id AS VARCHAR) AS upload_id, page_id % 7 IN (0, 1, 5) AS accepted,
+  CAST(CASE WHEN page_id % 7 < 2 THEN 2 WHEN page_id % 7 = 5 THEN 1 ELSE 0 END AS BIGINT) AS extracted_pdfs,
+  CASE page_id % 7 WHEN 2 THEN '{fv.MSG_ZIP_ESCAPE}' WHEN 3 THEN '{fv.MSG_ZIP_WITHOUT_PDF}' WHEN 4 THEN '{fv.MSG_NOT_A_ZIP}'
+    WHEN 6 THEN '{fv.MSG_EMPTY_FILE}' END AS reason
+FROM pages""",
+    "upload_documents": """
+SELECT CAST(page_id AS VARCHAR) AS upload_id, CASE WHEN page_id % 7 < 2 THEN 'first.pdf' ELSE concat(page_id, '.pdf') END AS file,
+  CASE WHEN page_id % 7 < 2 THEN 'b/first.pdf' ELSE concat('up/', page_id, '.pdf') END AS filename,
+  CAST(strlen(coalesce(html, '')) + 1 AS INTEGER) AS size, md5(concat(coalesce(html, ''), '.')) AS digest
+FROM pages WHERE page_id % 7 IN (0, 1, 5)""",
 }
