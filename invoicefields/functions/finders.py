@@ -49,7 +49,7 @@ def _int_after(text: Column, label: str) -> Column:
                 F.left(m["d"], (F.length(m["d"]) / m["n"]).cast("int")),
             )
             .otherwise(smallest_unit(m["d"]))
-            .try_cast("bigint"),
+            .try_cast("decimal(38,0)"),
         )
 
     return let(F.regexp_extract(text, chain, 0), lambda found: F.when(found != "", F.struct(value(found).alias("v"))))
@@ -57,7 +57,7 @@ def _int_after(text: Column, label: str) -> Column:
 
 def int_after_label(text: Column, labels: Sequence[str]) -> Column:
     """Integer after ``label:``.  A label printed n times takes the n-th part of the digits.  The first
-    label with a number decides; a number beyond BIGINT is NULL, and no later label answers for it."""
+    label with a number decides; a number beyond 38 digits is NULL, and no later label answers for it."""
     return F.coalesce(*[_int_after(text, label) for label in labels])["v"]
 
 

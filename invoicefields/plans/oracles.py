@@ -303,6 +303,13 @@ SELECT printf('B%02d', o_custkey % 50) AS batch_id, count(*) AS count_files, cou
   {summed('o_totalprice / 3', 4)} AS gross_weight, {summed('o_totalprice / 7e6', 4)} AS net_weight,
   {summed('o_totalprice * 1e7 / 3', 2)} AS total_invoice
 FROM orders GROUP BY o_custkey % 50""",
+    "large_counts": f"""WITH {INVOICES}
+SELECT k, concat('12345678901234567890', k) AS pallets, concat('98765432109876543210', k) AS boxes FROM inv""",
+    "large_count_totals": f"""WITH {INVOICES}
+SELECT printf('B%02d', o_custkey % 50) AS batch_id, count(*) AS count_files,
+  CAST(sum(CAST(concat('12345678901234567890', k) AS DECIMAL(38,0))) AS VARCHAR) AS pallets,
+  CAST(sum(CAST(concat('98765432109876543210', k) AS DECIMAL(38,0))) AS VARCHAR) AS boxes
+FROM inv JOIN orders ON k = o_orderkey GROUP BY o_custkey % 50""",
     "detail_json_roundtrip": f"""{WITH_ROWS}
 SELECT batch_id, file, invoice_no, pallets, boxes, gross_weight, net_weight, total_invoice FROM rows""",
     "summary_json_roundtrip": BATCH_SUMMARY,
@@ -414,10 +421,11 @@ FROM inv""",
     "v17_max_euro": found(amount=f"greatest({TOTAL}, 99.5)"),
     "v17_labels": found(gross_weight=TOTAL, boxes=whole("pallets")),
     "stream_closed_batches": """
-SELECT CAST(user_id AS VARCHAR) AS batch_id, CASE WHEN bool_or(event_type = 'signup') THEN 'marker' ELSE 'quiet' END AS reason,
-  count(*) AS files, count(*) FILTER (WHERE event_type NOT IN ('signup', 'error')) AS total_files,
-  epoch_us(max(ts)) AS last_change, epoch_us(min(ts)) AS first_landed, epoch_us(max(ts)) AS last_landed
-FROM events GROUP BY user_id""",
+SELECT CAST(user_id AS VARCHAR) AS batch_id, CASE WHEN bool_or(marker) THEN 'marker' ELSE 'quiet' END AS reason,
+  count(*) AS files, count(*) FILTER (WHERE NOT marker AND event_type <> 'error') AS total_files,
+  epoch_us(max(ts)) AS last_change, epoch_us(date_trunc('hour', min(ts))) AS first_landed,
+  epoch_us(date_trunc('hour', max(ts))) AS last_landed
+FROM (SELECT *, event_type = 'signup' AND event_id % 29 = 0 AS marker FROM events) GROUP BY user_id""",
     "stream_sessions": """
 WITH paused AS (
   SELECT user_id, event_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS starts

@@ -44,6 +44,11 @@ SUMMARY = (
 )
 
 
+def _counts(df: DataFrame) -> DataFrame:
+    """Counts as BIGINT, for rows whose counts are known to be small."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if c in ("pallets", "boxes") else F.col(c) for c in df.columns])
+
+
 def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -51,18 +56,18 @@ def _say(*parts) -> Column:
 # --- extraction -------------------------------------------------------------------------------
 
 def invoice_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_invoices(corpus.invoice_documents(spark, sf))
+    return _counts(extract_invoices(corpus.invoice_documents(spark, sf)))
 
 
 def document_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_invoices(corpus.prose_documents(spark, sf), keep=("doc_id", "batch_id"))
+    return _counts(extract_invoices(corpus.prose_documents(spark, sf), keep=("doc_id", "batch_id")))
 
 
 def page_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Assembled from pages: each line of an invoice text is a page of its document."""
     docs = corpus.invoice_documents(spark, sf)
     pages = docs.select("batch_id", "file", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
-    return extract_invoices(assemble_pages(pages, ["batch_id", "file"]))
+    return _counts(extract_invoices(assemble_pages(pages, ["batch_id", "file"])))
 
 
 def page_assembly(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,9 +122,9 @@ def invoice_no_from_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def _finder(spark, sf, text: Column, **found: Callable[[Column], Column]) -> DataFrame:
     """The numbers of each invoice, a text made of them, and what the finders find in it."""
-    return invoice_numbers(spark, sf).withColumn("text", text).select(
+    return _counts(invoice_numbers(spark, sf).withColumn("text", text).select(
         "k", *[find(F.col("text")).alias(name) for name, find in found.items()]
-    )
+    ))
 
 
 def int_after_label(spark, sf):
@@ -241,11 +246,11 @@ def amount_tokens_v17(spark, sf):
 # --- totals and reports -----------------------------------------------------------------------
 
 def batch_totals(spark, sf):
-    return totals.batch_totals(invoice_fields(spark, sf))
+    return _counts(totals.batch_totals(invoice_fields(spark, sf)))
 
 
 def grand_totals(spark, sf):
-    return totals.batch_totals(invoice_fields(spark, sf), keys=())
+    return _counts(totals.batch_totals(invoice_fields(spark, sf), keys=()))
 
 
 def batch_summary(spark, sf):
@@ -253,15 +258,15 @@ def batch_summary(spark, sf):
 
 
 def batch_report(spark, sf):
-    return report.batch_report(stored(invoice_fields(spark, sf)))
+    return _counts(report.batch_report(stored(invoice_fields(spark, sf))))
 
 
 def batch_report_total_row(spark, sf):
-    return report.batch_report(invoice_fields(spark, sf)).filter("is_total")
+    return _counts(report.batch_report(invoice_fields(spark, sf)).filter("is_total"))
 
 
 def batch_report_v17(spark, sf):
-    return report.batch_report_v17(stored(v17_fields(spark, sf)))
+    return _counts(report.batch_report_v17(stored(v17_fields(spark, sf))))
 
 
 def exact_totals(spark, sf):
@@ -272,7 +277,24 @@ def exact_totals(spark, sf):
         F.lit(1).alias("pallets"), F.lit(2).alias("boxes"), (price / 3).alias("gross_weight"),
         (price / 7e6).alias("net_weight"), (price * 1e7 / 3).alias("total_invoice"),
     )
-    return totals.batch_totals(rows)
+    return _counts(totals.batch_totals(rows))
+
+
+def _large_counts(spark, sf) -> DataFrame:
+    """Counts of 21 digits and more, before a label that must not answer for them."""
+    text = _say("Pallets: 12345678901234567890", F.col("k"), "\nNombre de Palettes: 5\nBoxes: 98765432109876543210", F.col("k"), "\n")
+    docs = corpus.invoice_documents(spark, sf).withColumn("text", text)
+    return extract_invoices(docs, keep=("k", "batch_id"))
+
+
+def large_counts(spark, sf):
+    return _large_counts(spark, sf).select(
+        "k", F.col("pallets").cast("string").alias("pallets"), F.col("boxes").cast("string").alias("boxes"))
+
+
+def large_count_totals(spark, sf):
+    return totals.batch_totals(_large_counts(spark, sf)).select(
+        "batch_id", "count_files", F.col("pallets").cast("string").alias("pallets"), F.col("boxes").cast("string").alias("boxes"))
 
 
 def _written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
@@ -556,7 +578,7 @@ def notification_rows(spark, sf):
 # --- earlier rules ----------------------------------------------------------------------------
 
 def v17_fields(spark, sf):
-    return extract_invoices_v17(corpus.invoice_documents(spark, sf))
+    return _counts(extract_invoices_v17(corpus.invoice_documents(spark, sf)))
 
 
 def v17_invoice_no(spark, sf):
@@ -619,13 +641,16 @@ def _utc(column: str) -> Column:
 
 
 def stream_closed_batches(spark, sf):
-    """Events as landed files of the batch of their user; all of them are long quiet by the clock,
-    those with a signup are closed by their marker."""
+    """Events as files of the batch of their user, landed in steps of an hour; all of them are long
+    quiet by the clock.  A rare signup is a marker, so that some batches close by it, others by quiet."""
+    marker = (F.col("event_type") == "signup") & (F.col("event_id") % 29 == 0)
+    at = F.unix_micros(_utc("ts"))
     landed = _event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("batch_id"),
-        F.when(F.col("event_type") == "signup", F.lit(fv.DONE_MARKER))
+        F.when(marker, F.lit(fv.DONE_MARKER))
         .otherwise(F.concat("event_id", F.when(F.col("event_type") == "error", F.lit(".txt")).otherwise(F.lit(".pdf")))).alias("rel_path"),
-        _utc("ts").alias("modificationTime"), _utc("ts").alias("landed_at"),
+        _utc("ts").alias("modificationTime"),
+        F.timestamp_micros(at - F.pmod(at, F.lit(3_600_000_000))).alias("landed_at"),
     )
     closed = closing.closed_batches(closing.arrivals(landed), QUIET_SECONDS)
     return drained(closed, has_timers=True).drop("closed_at")
@@ -656,7 +681,7 @@ QUERIES = {
         float_before_marker, total_tier1, total_tier2, total_tier3, total_tier4, total_cascade,
         euro_amounts_last, reduce_repetition, number_tokens, weight_tokens, amount_tokens_v17,
         batch_totals, grand_totals, batch_summary, batch_report, batch_report_total_row,
-        batch_report_v17, exact_totals, detail_json_roundtrip, summary_json_roundtrip, rejected_roundtrip,
+        batch_report_v17, exact_totals, large_counts, large_count_totals, detail_json_roundtrip, summary_json_roundtrip, rejected_roundtrip,
         admission_decision, selection_precheck, upload_responses,
         last_of_each_name, archive_members, archive_verdicts, archive_expansion, archive_validity,
         batch_activity, batch_ready, batch_sessions, batch_id_roundtrip, path_sort_rank,

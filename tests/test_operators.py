@@ -268,9 +268,14 @@ def test_counts_beyond_bigint(spark):
     from invoicefields.operators.totals import int_sum
 
     texts = spark.createDataFrame([("Pallets: 12345678901234567891\nNombre de Palettes: 5",)], "t string")
-    assert texts.select(int_after_label(F.col("t"), fv.PALLET_LABELS)).first()[0] is None
+    assert texts.select(int_after_label(F.col("t"), fv.PALLET_LABELS)).first()[0] == 12345678901234567891
+    longer = texts.select(F.concat(F.lit("Pallets: 7"), F.repeat(F.lit("01"), F.lit(20)), F.lit(" Nombre de Palettes: 5")).alias("t"))
+    assert longer.select(int_after_label(F.col("t"), fv.PALLET_LABELS)).first()[0] is None
     sums = spark.createDataFrame([("a", 9 * 10**18), ("a", 9 * 10**18), ("b", 3)], "k string, n long")
-    assert dict(sums.groupBy("k").agg(int_sum("n")).collect()) == {"a": None, "b": 3}
+    assert dict(sums.groupBy("k").agg(int_sum("n")).collect()) == {"a": 18 * 10**18, "b": 3}
+    wide = spark.createDataFrame([("a", "9" * 38), ("a", "9" * 38), ("b", "3"), ("c", None)], "k string, n string")
+    wide = wide.withColumn("n", F.col("n").cast("decimal(38,0)"))
+    assert dict(wide.groupBy("k").agg(int_sum("n")).collect()) == {"a": None, "b": 3, "c": 0}
 
 
 def test_long_runs_before_a_marker_stay_cheap(spark):
@@ -317,3 +322,37 @@ def test_report_is_in_order_of_paths(spark):
                                  "batch_id string, file string, text string")
     rows = extract_invoices(docs.withColumn("path", F.col("file")), keep=("batch_id", "path"))
     assert [r.file for r in in_report_order(batch_report(rows)).collect()] == ["z.pdf", "b.pdf", "a.pdf", "TOTAL"]
+
+
+def test_listing_takes_every_file(spark, tmp_path):
+    import os
+
+    from invoicefields.sources import listing
+    from invoicefields.streaming.inbox import Folder
+
+    root = tmp_path / "in box"
+    for name, data in {"a/_x.pdf": b"x", "a/.y.pdf": b"y", "a/e.pdf": b"", "a/.h/z.PDF": b"z", "b/_DONE": b"", "b/ü q.pdf": b"\xff",
+                       "stray.pdf": b"s"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "none").mkdir()
+    os.utime(root / "a/_x.pdf", (1e9, 1e9))
+    one = files.scan_inbox(spark, str(root)).collect()
+    assert {(r.batch_id, r.rel_path, r.size) for r in one} == {
+        ("a", "_x.pdf", 1), ("a", ".y.pdf", 1), ("a", "e.pdf", 0), ("a", ".h/z.PDF", 1), ("b", "_DONE", 0), ("b", "ü q.pdf", 1)}
+    assert listing.list_inbox(spark, str(tmp_path / "missing")).count() == 0
+    folder = Folder(f"file://{str(root).replace(' ', '%20')}")
+    found = folder.files(listing.batch_folders(spark, str(root)))
+    assert {(r.file, r.text) for r in folder.texts(found).collect()} == {
+        ("_x.pdf", "x"), (".y.pdf", "y"), ("e.pdf", None), ("ü q.pdf", None)}
+
+    # A file that has grown and one that was written again are new versions, an untouched one is not.
+    known = spark.createDataFrame(one)
+    (root / "a/_x.pdf").write_bytes(b"xx")
+    os.utime(root / "a/e.pdf", (2e9, 2e9))
+    again = listing.new_versions(files.scan_inbox(spark, str(root)), known)
+    assert {(r.rel_path, r.size) for r in again.collect()} == {("_x.pdf", 2), ("e.pdf", 0)}
+    # One that is gone since it was listed stays as a document without text.
+    listed = spark.createDataFrame([("a", "e.pdf")], "batch_id string, rel_path string")
+    (root / "a/e.pdf").unlink()
+    assert {r.file: r.text for r in folder.texts(listed).collect()} == {"e.pdf": None}
