@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,28 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "stored")
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    copy = spark.read.schema(schema).parquet(path)
+    copy._stored_at = path
+    return copy
+
+
+@contextmanager
+def copies() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``stored``, for tables that nothing reads after the block: the copies are deleted at its end,
+    so a stream that runs for months leaves none behind."""
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(stored(df))
+        return held[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in held:
+            files, where = _files(df.sparkSession, df._stored_at)
+            files.delete(where, True)
+            files.cancelDeleteOnExit(where)
 
 
 def _files(spark: SparkSession, path: str):
