@@ -7,20 +7,22 @@ long enough for a window are walked at all, which changes nothing in the result.
 
 Test items are read in blocks of a bounded number of words.  A block's automaton is sent to the
 tasks; with more blocks, texts are scanned once for each, and what was found is merged per row.
+Texts are cut by the merged spans, so a result does not depend on the size of the blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from invoicefields.llm.common import map_blocks, rewrite, utf8
+from invoicefields.llm.common import Scratch, map_blocks, rewrite, utf8
 
 WINDOW = 10
 #: Words of test items in one automaton, which has at most twice as many states.
@@ -158,18 +160,56 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """Automata of the items in blocks, read one partition of items at a time."""
+Items = list[tuple[str, list[bytes]]]
+
+
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The items in blocks, read one partition of items at a time; one empty block without items."""
     items, held = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     for name, text in rows.toLocalIterator():
         words = words_of(text.encode() if text else None)
         if items and held + len(words) > block_words:
-            yield Automaton(items, window)
+            yield items
             items, held = [], 0
         items.append((name, words))
         held += len(words)
-    yield Automaton(items, window)
+    yield items
+
+
+HITS = "row LONG, longest LONG, spans ARRAY<ARRAY<INT>>, items ARRAY<STRING>"
+
+
+def hits_of_blocks(rows: DataFrame, blocks: Iterable[Items], window: int, scratch: Scratch) -> DataFrame:
+    """``row, longest, spans, items`` of the rows (``row, text``) with a match in any block.
+
+    What a block finds is stored before the next one is made, and its automaton is freed, so only
+    one is held at a time.  ``spans`` and ``items`` of the blocks stand beside each other."""
+    parts = []
+    for block in blocks:
+        sent = rows.sparkSession.sparkContext.broadcast(Automaton(block, window))
+
+        def scan(batch: pa.RecordBatch, sent=sent) -> dict:
+            out = {k: [] for k in ("row", "longest", "spans", "items")}
+            for row, text in zip(batch.column("row").to_pylist(), utf8(batch)):
+                spans, items, most = sent.value.search(words_of(text))
+                if most:
+                    for k, v in zip(out, (row, most, spans, sorted(items))):
+                        out[k].append(v)
+            return out
+
+        parts.append(scratch.save(map_blocks(rows.select("row", "text"), scan, HITS)))
+        sent.destroy()
+    merged_rows = scratch.save(together(parts).groupBy("row").agg(
+        F.max("longest").alias("longest"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.flatten(F.collect_list("items")).alias("items")))
+    scratch.free(*parts)
+    return merged_rows
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Stored tables of one schema, as one."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._stored_at for t in tables])
 
 
 FOUND = "doc_id LONG, text STRING, n_words LONG, longest LONG, spans ARRAY<ARRAY<INT>>, items ARRAY<STRING>"
@@ -189,8 +229,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     found = docs.select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("n_words", "long"), ("longest", "long"), ("spans", "array<array<int>>"), ("items", "array<string>"))])
-    for automaton in automata(benchmark, window, block_words):
-        sent = spark.sparkContext.broadcast(automaton)
+    for items_of_block in item_blocks(benchmark, block_words):
+        sent = spark.sparkContext.broadcast(Automaton(items_of_block, window))
 
         def scan(block: pa.RecordBatch, sent=sent) -> dict:
             machine, out = sent.value, {k: [] for k in ("n_words", "longest", "spans", "items")}
@@ -227,20 +267,69 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                  most_covered: float = MOST_COVERED) -> DataFrame:
+                  most_covered: float = MOST_COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without test material: spans of ``window`` words or more (whole short items too)
     are cut out, and a row of which more than ``most_covered`` of the words is such material goes.
 
     A cut leaves a line break.  If the words around it make a new window, that is cut as well.
-    Null and empty texts stay, as do rows without a hit, unchanged."""
-    for automaton in automata(benchmark, window):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    Null and empty texts stay, as do rows without a hit, unchanged.  The blocks of items make no
+    difference: a cut takes the spans of all of them, in the text that all of them have read."""
+    blocks = item_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        return decontaminate_in_rounds(docs, benchmark, chain([first, second], blocks), window, most_covered, block_words)
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+    return rewrite(docs, lambda texts: [without_hits(t, sent.value, most_covered) for t in texts])
+
+
+def decontaminate_in_rounds(docs: DataFrame, benchmark: DataFrame, blocks: Iterable[Items], window: int,
+                            most_covered: float, block_words: int) -> DataFrame:
+    """``decontaminate`` with more than one block: each round reads the rows that the round before
+    has cut (at first all) with every block, then cuts them once, until nothing is hit."""
+    scratch, cuts = Scratch(docs.sparkSession, "decontamination"), []
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    left = rows.select("row", F.col("doc.text").alias("text"), F.lit(None).cast("long").alias("total"),
+                       F.lit(0).cast("long").alias("gone"))
+
+    def cut(block: pa.RecordBatch) -> dict:
+        out = {k: [] for k in ("row", "text", "total", "gone", "round")}
+        for row, text, total, gone, spans, turn in zip(*[block.column(c).to_pylist() for c in (
+                "row", "text", "total", "gone", "spans", "round")]):
+            spans = merged([*map(tuple, spans)])
+            total = len(words_of(text.encode())) if total is None else total
+            gone += sum(b - a for a, b in spans)
+            text = "" if gone > most_covered * total else cut_out(text, spans)
+            for k, v in zip(out, (row, text, total, gone, turn)):
+                out[k].append(v)
+        return out
+
+    while True:
+        hits = hits_of_blocks(left, blocks, window, scratch)
+        hit = left.join(hits.filter("size(spans) > 0"), "row").withColumn("round", F.lit(len(cuts)))
+        cuts.append(scratch.save(map_blocks(hit, cut, "row LONG, text STRING, total LONG, gone LONG, round INT")))
+        scratch.free(hits)
+        left = cuts[-1].filter("text != ''").select("row", "text", "total", "gone")
+        if left.isEmpty():
+            break
+        blocks = item_blocks(benchmark, block_words)
+    last = together(cuts).groupBy("row").agg(F.max_by("text", "round").alias("new"))
+    # A row that lost all of its text is no document any more.
+    joined = rows.join(last, "row", "left").filter("new IS NULL OR new != ''")
+    changed = {"text": F.col("new"), "n_chars": F.char_length("new")}
+    out = joined.select(*[
+        (F.coalesce(changed[f.name].cast(f.dataType), old) if f.name in changed else old).alias(f.name)
+        for f in docs.schema for old in [F.col(f"doc.`{f.name}`")]])
+    out._scratch = scratch
+    return out
 
-        def cut(texts: list[str | None], sent=sent) -> list[str | None]:
-            return [without_hits(t, sent.value, most_covered) for t in texts]
 
-        docs = rewrite(docs, cut)
-    return docs
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with a line break in place of each stretch of words."""
+    places, parts, at = [m.span() for m in _WORD.finditer(text)], [], 0
+    for start, stop in spans:
+        parts.append(text[at:places[start][0]])
+        at = places[stop - 1][1]
+    return "\n".join([*parts, text[at:]])
 
 
 def without_hits(text: str | None, machine: Automaton, most_covered: float) -> str | None:
@@ -256,9 +345,5 @@ def without_hits(text: str | None, machine: Automaton, most_covered: float) -> s
         gone += sum(b - a for a, b in spans)
         if gone > most_covered * total:
             return ""
-        places, parts, at = [m.span() for m in _WORD.finditer(text)], [], 0
-        for start, stop in spans:
-            parts.append(text[at:places[start][0]])
-            at = places[stop - 1][1]
-        text = "\n".join([*parts, text[at:]])
+        text = cut_out(text, spans)
         words = words_of(text.encode())

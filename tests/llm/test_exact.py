@@ -48,6 +48,33 @@ def test_decontaminate_cuts_and_drops(spark, benchmark):
     assert again.filter("contaminated").count() == 0
 
 
+def test_decontaminate_is_the_same_in_blocks(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    items = [(k, words(f"i{k}x", 40)) for k in range(6)] + [(6, words("i0x", 15)[-60:] + " " + words("own", 30))]
+    text = dict(items)
+    rows = [
+        (1, f"{text[0]} {words('z', 50)} {text[3][:200]}"),  # no item of a block is half of it, both are more
+        (2, words("z", 90) + " " + text[6] + " " + words("y", 90)),  # spans of two items overlap
+        (3, f"{words('z', 90)} {text[2][:29]} {text[4]} {text[2][30:59]} {words('y', 90)}"),  # a cut makes a window
+        (4, words("z", 50)), (5, None), (6, ""), (7, text[5]), (None, f"{words('z', 99)} {text[3]}"), (4, words("z", 50)),
+        (8, f"{words('z', 200)} {text[1][:120]} {text[2]} {text[1][120:]} {text[3]} {words('y', 99)}")]
+    docs = spark.createDataFrame([(i, t, f"r{k}", 5) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, row string, n_chars int").repartition(3).cache()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.decontaminate(docs, bench)
+    parted = decontaminate.decontaminate(docs, bench, block_words=100)
+    assert parted.dtypes == whole.dtypes
+    assert as_set(map(tuple, parted.collect())) == as_set(map(tuple, whole.collect()))
+    kept = {r["row"]: r for r in whole.collect()}
+    assert sorted(kept) == ["r1", "r2", "r3", "r4", "r5", "r7", "r8", "r9"] and kept["r1"]["text"].count("\n") == 1
+    assert sum(r["contaminated"] for r in decontaminate.contamination_report(whole, bench).collect()) == 0
+    clean = docs.filter("row = 'r3'")
+    assert decontaminate.decontaminate(clean, bench, block_words=100).collect() == clean.collect()
+    assert decontaminate.decontaminate(docs.limit(0), bench, block_words=100).count() == 0
+
+
 @pytest.mark.parametrize(("n", "limit"), [(3, 0.85), (5, 0.8)])
 def test_near_duplicates(docs, rows, no_docs, n, limit):
     want = plain.near_duplicates([(r[0], r[1]) for r in rows], n, round(limit * 100))
