@@ -226,26 +226,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     without items nothing is found.  Repeated rows are judged one by one; other columns are
     ignored.  An item whose id is null counts under the empty name.
     """
-    spark = docs.sparkSession
-    found = docs.select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in (
-        ("n_words", "long"), ("longest", "long"), ("spans", "array<array<int>>"), ("items", "array<string>"))])
-    for items_of_block in item_blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(Automaton(items_of_block, window))
-
-        def scan(block: pa.RecordBatch, sent=sent) -> dict:
-            machine, out = sent.value, {k: [] for k in ("n_words", "longest", "spans", "items")}
-            before = zip(*[block.column(c).to_pylist() for c in ("longest", "spans", "items")])
-            for text, (longest, spans, items) in zip(utf8(block), before):
+    blocks = item_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(first, window))
+
+        def scan(block: pa.RecordBatch) -> dict:
+            out = {k: [] for k in ("n_words", "longest", "spans", "items")}
+            for text in utf8(block):
                 words = words_of(text)
-                new, names, most = machine.search(words)
-                out["n_words"].append(len(words))
-                out["longest"].append(max(most, longest or 0))
-                out["spans"].append(merged([*map(tuple, spans or []), *new]))
-                out["items"].append(sorted({*names, *(items or [])}))
+                spans, names, most = sent.value.search(words)
+                for k, v in zip(out, (len(words), most, spans, sorted(names))):
+                    out[k].append(v)
             return {"doc_id": block.column("doc_id"), "text": block.column("text"), **out}
 
-        found = map_blocks(found, scan, FOUND)
-    return found
+        return map_blocks(docs.select("doc_id", "text"), scan, FOUND)
+    scratch = Scratch(docs.sparkSession, "contamination")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    hits = hits_of_blocks(rows, chain([first, second], blocks), window, scratch)
+
+    def gather(block: pa.RecordBatch) -> dict:
+        spans, items = block.column("spans").to_pylist(), block.column("items").to_pylist()
+        return {"doc_id": block.column("doc_id"), "text": block.column("text"),
+                "n_words": [len(words_of(t)) for t in utf8(block)],
+                "longest": [n or 0 for n in block.column("longest").to_pylist()],
+                "spans": [merged([*map(tuple, s or [])]) for s in spans],
+                "items": [sorted(set(i or [])) for i in items]}
+
+    out = map_blocks(rows.join(hits, "row", "left"), gather, FOUND)
+    out._scratch = scratch
+    return out
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -48,6 +48,30 @@ def test_decontaminate_cuts_and_drops(spark, benchmark):
     assert again.filter("contaminated").count() == 0
 
 
+def test_one_block_of_items_is_held_at_a_time(spark, benchmark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    held, most = [], []
+    made, gone = decontaminate.Automaton.__init__, Broadcast.destroy
+
+    def make(self, items, window):
+        made(self, items, window)
+        held.append(0)
+        most.append(len(held))
+
+    def destroy(self, *args):
+        held.pop()
+        gone(self, *args)
+
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", make)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    docs = benchmark.limit(9).select(F.col("item_id").alias("doc_id"), "text")
+    found = decontaminate.find_contamination(docs, benchmark.limit(9), block_words=60)
+    assert len(most) > 2 and max(most) == 1 and not held
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.filter("n_words > 0 AND size(items) = 0").count() == 0
+
+
 def test_decontaminate_is_the_same_in_blocks(spark):
     def words(name, n):
         return " ".join(f"{name}{i}" for i in range(n))
