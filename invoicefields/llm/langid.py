@@ -18,8 +18,9 @@ from invoicefields.llm.common import fold, map_blocks
 
 FOLDS, HELD_OUT = 3, 1
 #: A dictionary has at most so many bytes, from at most so many labelled texts of its language
-#: (those with the smallest hash of their id), and at most so many characters of each.
-DICTIONARY_BYTES, TEXTS, CHARS_OF_TEXT = 100 << 10, 256, 1024
+#: (those with the smallest hash of their id).  All of them have a part in it; of a text that is
+#: longer than its share, so many pieces at even distances from its begin to its end.
+DICTIONARY_BYTES, TEXTS, PIECES = 100 << 10, 256, 4
 LEVEL = 6
 #: Bytes compressed at once; a longer text is compressed in pieces, all of them.
 PIECE = 16 << 10
@@ -35,20 +36,56 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_PLAIN).split())
 
 
+def share_of(sizes: list[int]) -> int:
+    """The largest share with which texts of these sizes, each up to the share, fill a dictionary."""
+    left = DICTIONARY_BYTES
+    for i, size in enumerate(sorted(sizes)):
+        if size > (share := left // (len(sizes) - i)):
+            return share
+        left -= size
+    return DICTIONARY_BYTES
+
+
+def spread(raw: bytes, share: int) -> bytes:
+    """All of a text, or pieces of ``share`` bytes in all, the first at its begin, the last at its end."""
+    if len(raw) <= share:
+        return raw
+    size = (share - PIECES) // PIECES
+    if size < 1:
+        return raw[:max(share, 0)]
+    starts = [k * (len(raw) - size) // (PIECES - 1) for k in range(PIECES)]
+    return b" ".join(raw[i:i + size] for i in starts)
+
+
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, of rows outside of the held-out fold that have a language,
-    an id and a letter."""
+    an id and a letter.  Texts are read whole where they are; only their shares are collected."""
     learn = docs.filter(
         "lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     hashed = learn.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("turn"))
     first = Window.partitionBy("lang").orderBy("turn", "doc_id", "text")
-    ids = (hashed.select("lang", "doc_id", "turn", F.xxhash64("text").alias("text"))
-           .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TEXTS).select("doc_id").distinct())
-    rows = hashed.join(F.broadcast(ids), "doc_id").select("lang", "turn", F.substring("text", 1, CHARS_OF_TEXT))
+    chosen = (hashed.select("lang", "doc_id", "turn", F.xxhash64("text").alias("text"))
+              .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TEXTS).select("lang", "doc_id").distinct())
+    rows = hashed.join(F.broadcast(chosen), ["lang", "doc_id"])
+
+    def measure(block: pa.RecordBatch) -> dict:
+        return {"lang": block.column("lang"), "size": [
+            len(plain(t)) + 1 if _LETTER.search(t) else 0 for t in block.column("text").to_pylist()]}
+
+    sizes: dict[str, list[int]] = {}
+    for lang, size in map_blocks(rows.select("lang", "text"), measure, "lang STRING, size LONG").filter("size > 0").collect():
+        sizes.setdefault(lang, []).append(size)
+    shares = {lang: share_of(own) - 1 for lang, own in sizes.items()}
+
+    def take(block: pa.RecordBatch) -> dict:
+        texts = zip(block.column("lang").to_pylist(), block.column("text").to_pylist())
+        return {"lang": block.column("lang"), "turn": block.column("turn"), "part": [
+            spread(plain(t), shares[lang]) if _LETTER.search(t) else None for lang, t in texts]}
+
+    parts = map_blocks(rows.select("lang", "turn", "text"), take, "lang STRING, turn LONG, part BINARY")
     content: dict[str, bytes] = {}
-    for lang, _, text in sorted(map(tuple, rows.collect())):
-        if _LETTER.search(text):
-            content[lang] = (content.get(lang, b"") + plain(text) + b" ")[:DICTIONARY_BYTES]
+    for lang, _, part in sorted((r[0], r[1], bytes(r[2])) for r in parts.filter("part IS NOT NULL").collect()):
+        content[lang] = (content.get(lang, b"") + part + b" ")[:DICTIONARY_BYTES]
     return content
 
 

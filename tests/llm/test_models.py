@@ -79,6 +79,23 @@ def test_languages_of_edge_rows(docs, rows, no_docs):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_dictionaries_are_spread_over_each_text(spark):
+    def words(name, n):
+        return " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+
+    rows = [(i, f"{words('head', 300)} {words(f'own{chr(97 + i % 26)}', 500)} {words('tail', 60)} last{chr(97 + i // 26)}x", "en")
+            for i in range(330)] + [(900, "kort", "nl"), (901, "kort " * 50_000, "nl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if plain.fold(r[0], 3) != 1 and r[2] == "en"]
+    content = langid.dictionaries(docs)
+    english = content["en"]
+    assert 95_000 < len(english) <= langid.DICTIONARY_BYTES and len(content.get("nl", b"")) <= langid.DICTIONARY_BYTES
+    # every learned text has its end in it, and its middle
+    assert english.count(b"last") == min(langid.TEXTS, len(learned)) and english.count(b"own") > 2 * langid.TEXTS
+    assert langid.share_of([10, 10**6, 10**6]) == (langid.DICTIONARY_BYTES - 10) // 2
+    assert langid.spread(b"abc", 3) == b"abc" and len(langid.spread(b"x" * 10**6, 400)) <= 400
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 def test_random_tokens_are_told_from_words(spark):
