@@ -143,10 +143,88 @@ SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS B
 FROM placed p LEFT JOIN taken t USING (doc_id)
 """
 
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_ROW = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_BYTES = "list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)"
+# crc32 as a fold: a byte is added, then eight bits (each said by -1) are shifted out
+_CRC = (f"xor(list_reduce([4294967295::BIGINT] || flatten(list_transform({_BYTES}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])),"
+        " lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END),"
+        " 4294967295)")
+_UP = """
+  SELECT level + 1, grp, idx // 16, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {0}) WHERE n > 1 GROUP BY level, grp, idx // 16"""
+MERKLE = f"""
+WITH RECURSIVE doc AS (
+  SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            ELSE text END AS said FROM documents
+), leaf AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS grp, sha256({_ROW} || {_FIELD.format('text')}) AS leaf,
+         sha256({_ROW} || {_FIELD.format('said')}) AS later FROM doc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         row_number() OVER () AS id FROM leaf
+), node(level, grp, idx, digest) AS (
+  SELECT 0, grp, idx, leaf FROM placed
+  UNION ALL {_UP.format('node')}
+), subroot AS (
+  SELECT grp, max_by(digest, level) AS subroot, row_number() OVER (ORDER BY grp) - 1 AS no FROM node GROUP BY grp
+), upper(level, grp, idx, digest) AS (
+  SELECT 0, '', no, subroot FROM subroot
+  UNION ALL {_UP.format('upper')}
+), root AS (
+  SELECT max_by(digest, level) AS root FROM upper
+), run AS (
+  SELECT *, count(*) OVER (PARTITION BY level, grp) AS width FROM (SELECT * FROM node UNION ALL SELECT * FROM upper)
+), step AS (
+  SELECT a.level, a.grp, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+  FROM run a JOIN run b ON a.level = b.level AND a.grp = b.grp AND a.idx // 16 = b.idx // 16
+  WHERE a.width > 1 GROUP BY a.level, a.grp, a.idx
+), walk(id, grp, level, idx, proof, folded) AS (
+  SELECT id, grp, 0, idx, '', later FROM placed
+  UNION ALL
+  SELECT w.id, CASE WHEN s.l IS NULL THEN '' ELSE w.grp END, CASE WHEN s.l IS NULL THEN 0 ELSE w.level + 1 END,
+         CASE WHEN s.l IS NULL THEN u.no ELSE w.idx // 16 END, w.proof || coalesce(s.l || s.r, ''),
+         CASE WHEN s.l IS NULL THEN w.folded ELSE sha256(s.l || w.folded || s.r) END
+  FROM walk w LEFT JOIN step s ON s.level = w.level AND s.grp = w.grp AND s.idx = w.idx
+       LEFT JOIN subroot u ON u.grp = w.grp
+  WHERE s.l IS NOT NULL OR w.grp != ''
+), ended AS (
+  SELECT id, max_by(proof, level) AS proof, max_by(folded, level) AS folded FROM walk WHERE grp = '' GROUP BY id
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN subroot USING (grp) JOIN ended USING (id), root
+"""
+
+_DRAW = "CAST('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[{0}:{1}] AS BIGINT)"
+FIM = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         {_DRAW.format(1, 8)} AS h1, {_DRAW.format(9, 16)} AS h2, {_DRAW.format(17, 24)} AS h3, {_DRAW.format(25, 32)} AS h4
+  FROM documents
+), cut AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+         greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+              THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM doc
+), part AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+         array_to_string(units[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form != 'plain' THEN length(p) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form != 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM part
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_minhash": MINHASH,
     "op3_chat": CHAT,
     "op4_substrings": SUBSTRINGS,
     "op9_mixing": MIXING,
+    "op12_merkle": MERKLE,
+    "op13_fim": FIM,
 }

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from invoicefields.llm import chat, decontaminate, langid, matroska, minhash, mixing, quality, secret_scan
-from invoicefields.llm import substrings, tokens
+from invoicefields.llm import chat, decontaminate, fim, langid, matroska, merkle, minhash, mixing, quality
+from invoicefields.llm import secret_scan, substrings, tokens
 from invoicefields.llm.common import table
 from invoicefields.llm.oracles import ORACLES as ORACLES
 
@@ -61,6 +61,14 @@ def op10_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_minhash, op3_chat, op4_substrings, op5_quality, op6_tokens, op7_secrets,
-    op8_matroska, op9_mixing, op10_langid)}
+    op8_matroska, op9_mixing, op10_langid, op12_merkle, op13_fim)}
