@@ -1,7 +1,7 @@
 """Check SQL of the operators that SQL can express, over the same tables.
 
 What SQL cannot express is held against brute force, round trips or held-out labels in the tests:
-op5 and op10 (learned), op6 (a tokenizer), op7 (spans that its tests add), op8 (a media format).
+op5, op10 and op11 (learned), op6 (a tokenizer), op7 (spans that its tests add), op8 (a media format).
 """
 
 from __future__ import annotations

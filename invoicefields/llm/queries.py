@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from invoicefields.llm import chat, decontaminate, fim, langid, matroska, merkle, minhash, mixing, quality
-from invoicefields.llm import secret_scan, substrings, tokens
+from invoicefields.llm import secret_scan, substrings, tokens, toxicity
 from invoicefields.llm.common import table
 from invoicefields.llm.oracles import ORACLES as ORACLES
 
@@ -61,6 +61,10 @@ def op10_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf, "documents"))
 
@@ -71,4 +75,4 @@ def op13_fim(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_minhash, op3_chat, op4_substrings, op5_quality, op6_tokens, op7_secrets,
-    op8_matroska, op9_mixing, op10_langid, op12_merkle, op13_fim)}
+    op8_matroska, op9_mixing, op10_langid, op11_toxicity, op12_merkle, op13_fim)}
