@@ -1,10 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over windows of words.
 
 A word enters with two vectors: one of its own, if it is among the words that the labelled rows
-use most, and the sum of the vectors of its character sequences of three to five, which any word
+use most, and the sum of the vectors of its character sequences of three and four, which any word
 has.  A gated recurrent layer reads the window in both directions, attention weighs its positions
 and pools them, and a linear layer gives the window's logit.  A text is read whole, in windows
-that overlap by half; a small logistic layer makes its score of the highest logits, of the share
+that overlap by a quarter; a small logistic layer makes its score of the highest logits, of the share
 of marked windows and of how many there are.
 
 Labels belong to documents, so the network first learns from any of their windows and then from
@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 
 from invoicefields.llm.common import blocks, fold, map_blocks, mix
 
-WINDOW, STRIDE = 40, 20
-WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 12, 20, 16, 8
+WINDOW, STRIDE = 48, 36
+WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 12, 16, 16, 8
 GATES = 3 * HIDDEN
 KNOWN_WORDS, GRAM_SLOTS = 8192, 1 << 15
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4)
 #: A longer word is read in pieces of so many characters.
 LONGEST = 32
 #: At most so many rows of each label (those with the smallest hash of their id) fit the network,
 #: each with at most so many windows, at even distances from begin to end.
 ROWS_OF_LABEL, WINDOWS_OF_ROW = 2500, 64
-BATCH, ROUNDS, WARM_UP, STEP, DROPPED = 256, 9, 3, 0.004, 0.3
+BATCH, ROUNDS, WARM_UP, STEP, DROPPED = 256, 7, 3, 0.005, 0.3
 #: Words whose inputs a task remembers, and windows that it scores at once.
 WORDS_HELD, AT_ONCE = 1 << 18, 512
 FOLDS, HELD_OUT = 4, 2
@@ -45,17 +45,16 @@ _BEGIN, _END = "\x02", "\x03"
 # --- words ------------------------------------------------------------------------------------
 
 def words_of(text: str | None) -> list[str]:
-    """What white space divides; long words in pieces."""
-    words = text.split() if text else []
+    """What white space divides, without case; long words in pieces."""
+    words = text.casefold().split() if text else []
     if words and max(map(len, words)) > LONGEST:
         words = [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
 
 
 def normal(word: str) -> str:
-    """Without case and without marks at its ends, unless it is nothing else."""
-    folded = word.casefold()
-    return folded.strip(_EDGES) or folded
+    """Without marks at its ends, unless it is nothing else."""
+    return word.strip(_EDGES) or word
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -87,7 +86,7 @@ class Grams:
         for i in range(max(GRAMS)):
             value = value * np.uint64(0x100000001B3) + codes[i:i + len(left)] + np.uint64(1)
             if i + 1 in GRAMS:
-                found = (mix(value) % np.uint64(GRAM_SLOTS)).astype(np.int32)
+                found = (mix(value) & np.uint64(GRAM_SLOTS - 1)).astype(np.int32)
                 slots.append(np.where(left > i, found, GRAM_SLOTS))
         counts = sum(np.maximum(sizes - n + 1, 0) for n in GRAMS)
         return cls(np.stack(slots), ends - sizes, (1 / np.sqrt(np.maximum(counts, 1))).astype(np.float32))
@@ -403,40 +402,48 @@ def _choose(s: Sample, rows: np.ndarray, scores: np.ndarray | None, rng: np.rand
     return rows[np.unique(picked)]
 
 
+class Numbers(dict):
+    """Numbers from 1 for words, and those that got theirs since the last look."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        value = self[word] = len(self) + 1
+        return value
+
+
 class Scorer:
     """Logits of windows; what a word adds to the gates is computed once and remembered."""
 
     def __init__(self, p: dict[str, np.ndarray], known: dict[str, int]):
         self.p, self.known = p, known
         self.reader, self.wx, self.b = Reader(p["wh"]), by_gate(p["wx"]), by_gate(p["b"])
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.gates = np.zeros((3, 2, 1, HIDDEN), np.float32)
-        self.used = 1
 
     def number(self, words: list[str]) -> np.ndarray:
-        """A number from 1 for each word, under which its gate inputs are kept."""
-        distinct = set(words)
-        new = [w for w in distinct if w not in self.numbers]
-        if len(self.numbers) + len(new) > WORDS_HELD:
-            self.numbers.clear()
-            self.used, new = 1, list(distinct)
-        if new:
-            need = self.used + len(new)
-            if need > self.gates.shape[2]:
-                grown = np.zeros((3, 2, max(need, min(2 * need, WORDS_HELD + 1)), HIDDEN), np.float32)
-                grown[:, :, :self.used] = self.gates[:, :, :self.used]
-                self.gates = grown
-            for i in range(0, len(new), 1 << 14):
-                some = new[i:i + (1 << 14)]
-                keys = [normal(w) for w in some]
-                own = self.p["word"][[self.known.get(k, 0) for k in keys]]
-                x = np.concatenate((own, Grams.of(keys).sums(self.p["gram"])), axis=1)
-                for gate in range(3):
-                    for d in (0, 1):
-                        self.gates[gate, d, self.used:self.used + len(some)] = x @ self.wx[gate, d] + self.b[gate, d]
-                self.numbers.update(zip(some, range(self.used, self.used + len(some))))
-                self.used += len(some)
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        """A number from 1 for each word, under which its gate inputs are kept.  Beyond WORDS_HELD words
+        it starts anew with the next block."""
+        if len(self.numbers) > WORDS_HELD:
+            self.numbers = Numbers()
+        out = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        new, self.numbers.new = self.numbers.new, []
+        first, need = len(self.numbers) - len(new) + 1, len(self.numbers) + 1
+        if need > self.gates.shape[2]:
+            grown = np.zeros((3, 2, need * 3 // 2, HIDDEN), np.float32)
+            grown[:, :, :first] = self.gates[:, :, :first]
+            self.gates = grown
+        for i in range(0, len(new), 1 << 13):
+            keys = [normal(w) for w in new[i:i + (1 << 13)]]
+            own = np.fromiter((self.known.get(k, 0) for k in keys), np.int32, len(keys))
+            x = np.concatenate((self.p["word"][own], Grams.of(keys).sums(self.p["gram"])), axis=1)
+            for gate in range(3):
+                for d in (0, 1):
+                    self.gates[gate, d, first + i:first + i + len(keys)] = x @ self.wx[gate, d] + self.b[gate, d]
+        return out
 
     def batch(self, ids: np.ndarray) -> np.ndarray:
         """Logits of windows of numbered words ``(B, WINDOW)``, 0 where there is none."""
@@ -562,10 +569,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                .groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label")))
     of_label = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
 
-    def some(rows: DataFrame, *then: str) -> DataFrame:
-        parts = [rows.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id", *then).limit(ROWS_OF_LABEL)
-                 for y in (0, 1)]
-        return parts[0].unionAll(parts[1])
+    some = [learned.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_OF_LABEL) for y in (0, 1)]
 
     def cut(block: pa.RecordBatch) -> dict:
         counts, windows = [], []
@@ -578,10 +582,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             windows.append("\n".join(" ".join(words[i:i + WINDOW]) for i in starts))
         return {"doc_id": block.column("doc_id"), "label": block.column("label"), "n_windows": counts, "windows": windows}
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some(learned)), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
     cut_rows = map_blocks(chosen, cut, "doc_id LONG, label INT, n_windows LONG, windows STRING")
     # rows that share an id are as many as there are: of those, too, no more than the bound
-    return learn(some(cut_rows, "windows").collect(), of_label)
+    rows = cut_rows.orderBy(F.xxhash64("doc_id"), "doc_id", "windows").limit(2 * ROWS_OF_LABEL).collect()
+    return learn(rows, of_label)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
