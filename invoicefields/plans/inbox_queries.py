@@ -25,7 +25,7 @@ from invoicefields.streaming import closing, inbox, runs
 SUMMARY = "batch_id STRING, count_files BIGINT, total_total_invoice STRING, epoch BIGINT"
 
 
-def _write(root: str, named: DataFrame) -> str:
+def write_files(root: str, named: DataFrame) -> str:
     """Writes ``batch_id, rel_path, text`` as files below the root.  A repeated task writes the same."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +58,7 @@ def _page_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _page_inbox(spark: SparkSession, sf: str) -> str:
-    return _write(new_folder(spark, "inbox"), _page_files(spark, sf))
+    return write_files(new_folder(spark, "inbox"), _page_files(spark, sf))
 
 
 def inbox_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def inbox_resend(spark: SparkSession, sf: str) -> DataFrame:
     root = _page_inbox(spark, sf)
     before = stored(scan_inbox(spark, root))
     again = _page_files(spark, sf).filter("page_id % 5 = 0").withColumn("text", F.concat("text", F.lit("x")))
-    _write(root, again)
+    write_files(root, again)
     return new_versions(scan_inbox(spark, root), before).select("batch_id", "rel_path", "size")
 
 
@@ -96,7 +96,7 @@ def batch_run(spark: SparkSession, sf: str) -> DataFrame:
     marked = orders.filter("b % 3 = 0").select(F.format_string("B%02d", "b").alias("batch_id"))
     lone = table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("batch_id"))
     markers = marked.unionAll(lone).select("batch_id", F.lit(fv.DONE_MARKER).alias("rel_path"), F.lit("").alias("text"))
-    root = _write(new_folder(spark, "inbox"), docs.unionByName(markers))
+    root = write_files(new_folder(spark, "inbox"), docs.unionByName(markers))
     settings = runs.Settings(new_folder(spark, "results"), MailSettings("host", "from@x", "a@x", ""))
     landed = inbox.landed_now(scan_inbox(spark, root))
     closed = closing.closed_now(landed, F.current_timestamp() + F.expr("INTERVAL 1 HOUR"), 60)

@@ -471,4 +471,54 @@ SELECT CAST(page_id AS VARCHAR) AS upload_id, CASE WHEN page_id % 7 < 2 THEN 'fi
   CASE WHEN page_id % 7 < 2 THEN 'b/first.pdf' ELSE concat('up/', page_id, '.pdf') END AS filename,
   CAST(strlen(coalesce(html, '')) + 1 AS INTEGER) AS size, md5(concat(coalesce(html, ''), '.')) AS digest
 FROM pages WHERE page_id % 7 IN (0, 1, 5)""",
+    "report_csv_roundtrip": f"""{WITH_ROWS},
+lines AS (
+  SELECT batch_id, false AS is_total, concat(right(invoice_no, 1), '/', file) AS path, file, invoice_no, pallets, boxes,
+    {as_java('gross_weight')} AS gross_weight, {as_java('net_weight')} AS net_weight, {as_java('total_invoice')} AS total_invoice FROM rows
+  UNION ALL SELECT batch_id, true, NULL, file, invoice_no, pallets, boxes, gross_weight, net_weight, total_invoice FROM ({TOTAL_ROW})
+)
+SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY is_total, string_split(path, '/')) AS line_no,
+  file, invoice_no, pallets, boxes, gross_weight, net_weight, total_invoice FROM lines""",
+    "rerun_replaces": f"""{WITH_ROWS}, numbered AS (SELECT batch_id, CAST(replace(invoice_no, 'DM', '') AS BIGINT) AS k FROM rows)
+SELECT batch_id, CAST(2 AS BIGINT) AS epoch, count(*) AS total_files, count(*) FILTER (WHERE k % 7 = 0 AND k % 14 <> 0) AS rejected_files,
+  count(*) FILTER (WHERE k % 7 = 0) AS rejected_before, count(*) FILTER (WHERE k % 7 <> 0 OR k % 14 = 0) AS rows,
+  rejected_files AS rejected, 'DONE' AS state, true AS start_kept
+FROM numbered GROUP BY batch_id""",
+    "one_failing_batch": f"""{WITH_ROWS}
+SELECT batch_id, 'processed' AS outcome, count(*) AS total_files, CAST(NULL AS VARCHAR) AS error, CAST(1 AS INTEGER) AS runs, 'DONE' AS state,
+  '{fv.MSG_DONE}' AS message FROM rows GROUP BY batch_id
+UNION ALL
+SELECT concat('R', r_regionkey), 'error', 0, 'listing failed: NotADirectoryError', 1, 'ERROR',
+  '{fv.MSG_ERROR_PREFIX}listing failed: NotADirectoryError' FROM region""",
+    "status_documents": """
+WITH last AS (
+  SELECT user_id, arg_max(event_id, (ts, event_id)) AS e, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id
+)
+SELECT CASE WHEN user_id % 7 <> 0 THEN CAST(user_id AS VARCHAR) END AS batch_id,
+  CASE WHEN user_id % 7 <> 0 THEN CASE WHEN kind = 'purchase' THEN 'DONE' ELSE 'PROCESSING' END END AS state,
+  CAST(CASE WHEN user_id % 7 <> 0 THEN e % 5 END AS INTEGER) AS total_files,
+  CAST(CASE WHEN user_id % 7 <> 0 THEN e % 3 END AS INTEGER) AS processed_files,
+  CASE WHEN user_id % 7 <> 0 THEN kind END AS message,
+  CASE WHEN user_id % 7 = 0 THEN trim(concat('{"batch_id": "', user_id, '", "state": ')) END AS raw
+FROM last""",
+    "given_paths": """
+WITH page AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder, page_id % 4 = 0 AS upper_case,
+    concat(page_id, CASE WHEN page_id % 4 = 0 THEN '.PDF' ELSE '.pdf' END) AS file, page_id % 50 + 1 AS length
+  FROM pages WHERE page_id % 4 <> 1 AND page_id % 8 <> 3
+),
+given AS (
+  SELECT i AS input_no, concat(folder, '/', file) AS name, length, upper_case
+  FROM page JOIN (VALUES (0, 'a'), (1, 'b'), (2, 'a')) AS v(i, f) ON folder = f
+  UNION ALL
+  SELECT i, concat('c/n', n_nationkey, '.Pdf'), strlen(n_name), false FROM nation JOIN (VALUES (4, 6), (5, 12)) AS v(i, n) ON n_nationkey = n
+)
+SELECT CAST(input_no AS INTEGER) AS input_no, name, length, row_number() OVER (ORDER BY input_no, upper_case, string_split(name, '/')) AS ord FROM given""",
+    "unit_suffix": """
+SELECT p_partkey, regexp_replace(concat(p_size, CASE p_partkey % 6 WHEN 0 THEN 'kg' WHEN 1 THEN 'KGS' WHEN 2 THEN 'g' WHEN 3 THEN ' kG'
+  WHEN 4 THEN 'lb' ELSE 'kg5' END), '(?i)(kg|kgs|g)$', '') AS stripped FROM part""",
+    "notification_gate": """
+SELECT CAST(o_orderkey AS VARCHAR) AS batch_id, concat(CASE WHEN o_orderkey % 5 = 0 THEN '[P] ' ELSE '' END, 'Lote procesado: ', o_orderkey) AS subject,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'nothing' ELSE 'subject_prefix' END AS without
+FROM orders WHERE o_orderkey % 5 IN (0, 4)""",
 }

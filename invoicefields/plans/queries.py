@@ -21,6 +21,7 @@ from invoicefields.operators.legacy import extract_invoices_v17, select_document
 from invoicefields.plans import corpus
 from invoicefields.plans.corpus import eu_format, invoice_numbers, money, table, us_format
 from invoicefields.plans.inbox_queries import INBOX_QUERIES
+from invoicefields.plans.run_queries import RUN_QUERIES
 from invoicefields.sources import sinks
 from invoicefields.sources.archives import archive_documents, expand_archives
 from invoicefields.sources.files import with_batch, with_rank
@@ -690,4 +691,4 @@ QUERIES = {
         v17_fields, v17_invoice_no, v17_taxable, v17_max_euro, v17_labels,
         stream_closed_batches, stream_sessions, stream_status,
     )
-} | INBOX_QUERIES
+} | INBOX_QUERIES | RUN_QUERIES

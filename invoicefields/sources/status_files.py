@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from invoicefields import schemas
+from invoicefields.sources.storage import stored
 
 CORRUPT = "_corrupt_record"
 
@@ -21,7 +22,9 @@ def read_status(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_unreadable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(status rows, the raw text of documents that could not be read)."""
+    """(status rows, the raw text of documents that could not be read).  The files are parsed once: what was
+    read is stored, as Spark refuses to read raw JSON for its unreadable part alone."""
+    documents = stored(documents)
     return (
         documents.filter(documents[CORRUPT].isNull()).drop(CORRUPT),
         documents.filter(documents[CORRUPT].isNotNull()).select(CORRUPT),

@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     of their own, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        if not on_one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
         spark.sparkContext.setCheckpointDir(named)
@@ -75,6 +75,23 @@ def _at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(where)
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def shared_uri(spark: SparkSession, path: str) -> str:
+    """The path as a URI that means the same on every machine: without a scheme it lies on the default
+    file system, as for Spark's own readers.  Disks of single machines serve a session on one only."""
+    if "://" not in path and not path.startswith("file:"):
+        files, where = _files(spark, path)
+        path = files.makeQualified(where).toUri().toString()
+        if path.startswith("file:/") and not path.startswith("file://"):
+            path = "file://" + path[len("file:"):]
+    if path.startswith("file:") and not on_one_machine(spark):
+        raise ValueError(f"{path} is a folder of one machine: name one that all machines share")
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there anything at the path, on whatever storage it names?"""
     files, where = _files(spark, path)
