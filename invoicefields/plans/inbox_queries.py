@@ -42,7 +42,7 @@ def write_files(root: str, named: DataFrame) -> str:
     return root
 
 
-def _page_files(spark: SparkSession, sf: str) -> DataFrame:
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
     """A file for each page: ordinary and hidden names, empty files, other types, and batches that
     hold nothing but a marker."""
     p, kind = F.col("page_id"), F.col("page_id") % 6
@@ -57,21 +57,21 @@ def _page_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _page_inbox(spark: SparkSession, sf: str) -> str:
-    return write_files(new_folder(spark, "inbox"), _page_files(spark, sf))
+def page_inbox(spark: SparkSession, sf: str) -> str:
+    return write_files(new_folder(spark, "inbox"), page_files(spark, sf))
 
 
 def inbox_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_inbox(spark, _page_inbox(spark, sf)).select("batch_id", "rel_path", "size")
+    return scan_inbox(spark, page_inbox(spark, sf)).select("batch_id", "rel_path", "size")
 
 
 def inbox_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return batches.batch_activity(scan_inbox(spark, _page_inbox(spark, sf))).drop("last_change")
+    return batches.batch_activity(scan_inbox(spark, page_inbox(spark, sf))).drop("last_change")
 
 
 def inbox_documents(spark: SparkSession, sf: str) -> DataFrame:
     """What a run of every batch reads: the texts of its documents, or why there is none."""
-    root = _page_inbox(spark, sf)
+    root = page_inbox(spark, sf)
     folder = inbox.Folder(root)
     texts = folder.texts(folder.files(scan_inbox(spark, root).select("batch_id")))
     return texts.select("batch_id", "file", F.md5("text").alias("digest"), rejection().alias("reason"))
@@ -79,9 +79,9 @@ def inbox_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def inbox_resend(spark: SparkSession, sf: str) -> DataFrame:
     """The files that a second listing takes for new: every fifth page was sent again, longer."""
-    root = _page_inbox(spark, sf)
+    root = page_inbox(spark, sf)
     before = stored(scan_inbox(spark, root))
-    again = _page_files(spark, sf).filter("page_id % 5 = 0").withColumn("text", F.concat("text", F.lit("x")))
+    again = page_files(spark, sf).filter("page_id % 5 = 0").withColumn("text", F.concat("text", F.lit("x")))
     write_files(root, again)
     return new_versions(scan_inbox(spark, root), before).select("batch_id", "rel_path", "size")
 
@@ -111,6 +111,20 @@ def batch_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def zipped(page_id: int, html: str) -> bytes:
+    """An archive of a page, or for every ninth page none."""
+    target = io.BytesIO()
+    if page_id % 9 == 0:
+        return b"no archive"
+    with zipfile.ZipFile(target, "w") as archive:
+        archive.writestr(f"in/{page_id}.pdf", html)
+        archive.writestr(f"__MACOSX/{page_id}.pdf", b"x")
+        archive.writestr("notes.txt", b"y")
+        if page_id % 2:
+            archive.writestr(f"more/{page_id}.PDF", html[: len(html) // 2])
+    return target.getvalue()
+
+
 def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """An upload for each page, by ``page_id % 7``: archives that are good, damaged, escaping,
     without documents, no archives; a single document; an empty file."""

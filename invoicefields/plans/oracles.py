@@ -223,6 +223,13 @@ files AS (
   FROM pages
 )"""
 
+ARCHIVE_EXPANSION = """
+SELECT CAST(page_id AS VARCHAR) AS archive, concat('in/', page_id, '.pdf') AS member_name, strlen(html) AS size, html AS text
+FROM pages WHERE page_id % 9 <> 0
+UNION ALL
+SELECT CAST(page_id AS VARCHAR), concat('more/', page_id, '.PDF'), strlen(left(html, length(html) // 2)), left(html, length(html) // 2)
+FROM pages WHERE page_id % 9 <> 0 AND page_id % 2 = 1"""
+
 ORACLES = {
     "invoice_fields": f"{WITH_ROWS} SELECT * FROM rows",
     "page_fields": f"{WITH_ROWS} SELECT * FROM rows",
@@ -340,12 +347,7 @@ FROM orders GROUP BY o_custkey, o_orderpriority""",
     "archive_verdicts": f"""WITH {MEMBERS}
 SELECT archive, true AS is_zip, bool_or(counted AND escapes) AS escapes, count(*) FILTER (WHERE counted) AS pdfs
 FROM members GROUP BY archive""",
-    "archive_expansion": """
-SELECT CAST(page_id AS VARCHAR) AS archive, concat('in/', page_id, '.pdf') AS member_name, strlen(html) AS size, html AS text
-FROM pages WHERE page_id % 9 <> 0
-UNION ALL
-SELECT CAST(page_id AS VARCHAR), concat('more/', page_id, '.PDF'), strlen(left(html, length(html) // 2)), left(html, length(html) // 2)
-FROM pages WHERE page_id % 9 <> 0 AND page_id % 2 = 1""",
+    "archive_expansion": ARCHIVE_EXPANSION,
     "archive_validity": """
 SELECT CAST(page_id AS VARCHAR) AS archive, page_id % 9 <> 0 AS is_zip, false AS escapes,
   CAST(CASE WHEN page_id % 9 = 0 THEN 0 ELSE 1 + page_id % 2 END AS BIGINT) AS pdfs
@@ -521,4 +523,43 @@ SELECT p_partkey, regexp_replace(concat(p_size, CASE p_partkey % 6 WHEN 0 THEN '
 SELECT CAST(o_orderkey AS VARCHAR) AS batch_id, concat(CASE WHEN o_orderkey % 5 = 0 THEN '[P] ' ELSE '' END, 'Lote procesado: ', o_orderkey) AS subject,
   CASE WHEN o_orderkey % 5 = 0 THEN 'nothing' ELSE 'subject_prefix' END AS without
 FROM orders WHERE o_orderkey % 5 IN (0, 4)""",
+    "inbox_versions": f"""WITH {PAGE_FILES}
+SELECT batch_id, rel_path, strlen(text) AS size, CAST(0 AS BIGINT) AS epoch FROM files
+UNION ALL SELECT batch_id, rel_path, strlen(text) + 1, 1 FROM files WHERE page_id % 5 = 0
+UNION ALL SELECT batch_id, rel_path, strlen(text), 4 FROM files WHERE batch_id = 'b7'""",
+    "archive_ranges": ARCHIVE_EXPANSION,
+    "stream_waiters": """
+WITH mark AS (
+  SELECT least(max(ts) FILTER (WHERE event_type = 'signup'), max(ts) FILTER (WHERE event_type IN ('purchase', 'error'))) - INTERVAL 1 HOUR AS w
+  FROM events
+),
+answered AS (
+  SELECT a.event_id AS waiter, a.user_id AS batch_id, a.ts AS asked_at, arg_min(e.event_type, (e.ts, e.event_type)) AS state, min(e.ts) AS ended_at
+  FROM events a LEFT JOIN events e ON e.user_id = a.user_id AND e.event_type IN ('purchase', 'error')
+    AND e.ts >= a.ts AND e.ts <= a.ts + INTERVAL 24 HOUR
+  WHERE a.event_type = 'signup' GROUP BY a.event_id, a.user_id, a.ts
+)
+SELECT waiter, batch_id, CASE WHEN state IS NULL THEN 'timeout' ELSE 'ended' END AS answer, state, epoch_us(ended_at) AS ended_at
+FROM answered, mark WHERE asked_at + INTERVAL 24 HOUR < w""",
+    "stream_findings": """
+WITH change AS (
+  SELECT CAST(user_id AS VARCHAR) AS batch_id, event_id AS seq, epoch_us(ts) AS t,
+    CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'ERROR' ELSE 'PROCESSING' END AS state,
+    CASE event_type WHEN 'signup' THEN 'WAITING' WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'SENDING_EMAIL'
+      ELSE 'RUNNING_EXTRACTOR' END AS stage
+  FROM events
+),
+pair AS (
+  SELECT *, lag(state) OVER w AS from_state, lag(stage) OVER w AS from_stage, lag(t) OVER w AS since, lead(t) OVER w AS next
+  FROM change WINDOW w AS (PARTITION BY batch_id ORDER BY t, seq)
+),
+mark AS (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) AS w FROM events)
+SELECT batch_id, 'unknown transition' AS finding, from_state, from_stage, state AS to_state, stage AS to_stage, since, t AS "at", seq FROM pair
+WHERE concat(coalesce(from_stage, 'new'), '>', stage) NOT IN (
+  'new>WAITING', 'new>RUNNING_EXTRACTOR', 'new>ERROR', 'WAITING>RUNNING_EXTRACTOR', 'WAITING>ERROR', 'RUNNING_EXTRACTOR>SENDING_EMAIL',
+  'RUNNING_EXTRACTOR>ERROR', 'SENDING_EMAIL>DONE', 'SENDING_EMAIL>ERROR', 'DONE>RUNNING_EXTRACTOR', 'DONE>WAITING',
+  'ERROR>RUNNING_EXTRACTOR', 'ERROR>WAITING')
+UNION ALL
+SELECT batch_id, 'stuck', state, stage, NULL, NULL, t, t + 129600000000, seq FROM pair, mark
+WHERE state NOT IN ('DONE', 'ERROR') AND coalesce(next, w) - t >= 129600000000""",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,16 +18,18 @@ from invoicefields.operators.extract import (
 from invoicefields.operators.legacy import extract_invoices_v17, select_documents_v17
 from invoicefields.plans import corpus
 from invoicefields.plans.corpus import eu_format, invoice_numbers, money, table, us_format
-from invoicefields.plans.inbox_queries import INBOX_QUERIES
+from invoicefields.plans.inbox_queries import INBOX_QUERIES, zipped
 from invoicefields.plans.run_queries import RUN_QUERIES
 from invoicefields.sources import sinks
 from invoicefields.sources.archives import archive_documents, expand_archives
 from invoicefields.sources.files import with_batch, with_rank
 from invoicefields.sources.storage import new_folder, stored
-from invoicefields.streaming import closing
+from invoicefields.streaming import closing, transitions, waiting
 from invoicefields.streaming.drain import drained
 
 QUIET_SECONDS = 6 * 3600
+WAIT_SECONDS = 24 * 3600
+STUCK_SECONDS = 36 * 3600
 AS_OF = "2024-01-31 00:00:00"
 STATUS_PREFIX = "/api/batches"
 FIELDS = ["file", "invoice_no", "pallets", "boxes", "gross_weight", "net_weight", "total_invoice"]
@@ -404,19 +404,7 @@ def archive_verdicts(spark, sf):
 
 def _zipped(frames):
     for frame in frames:
-        packed = []
-        for page_id, html in zip(frame["page_id"], frame["html"]):
-            target = io.BytesIO()
-            if page_id % 9:
-                with zipfile.ZipFile(target, "w") as archive:
-                    archive.writestr(f"in/{page_id}.pdf", html)
-                    archive.writestr(f"__MACOSX/{page_id}.pdf", b"x")
-                    archive.writestr("notes.txt", b"y")
-                    if page_id % 2:
-                        archive.writestr(f"more/{page_id}.PDF", html[: len(html) // 2])
-            else:
-                target.write(b"no archive")
-            packed.append(target.getvalue())
+        packed = [zipped(page_id, html) for page_id, html in zip(frame["page_id"], frame["html"])]
         yield pd.DataFrame({"archive": frame["page_id"].astype(str), "content": packed})
 
 
@@ -673,6 +661,30 @@ def stream_status(spark, sf):
     return drained(ends).select("batch_id", "seq", "state", "stage", "updated_at")
 
 
+def stream_waiters(spark, sf):
+    """Each signup waits a day for the next purchase or error of its user."""
+    kind = F.col("event_type")
+    waiters = _event_stream(spark, sf).filter(kind == "signup").select(
+        F.col("event_id").alias("waiter"), F.col("user_id").alias("batch_id"), _utc("ts").alias("asked_at"))
+    ends = _event_stream(spark, sf).filter(kind.isin("purchase", "error")).select(
+        F.col("user_id").alias("batch_id"), kind.alias("state"), _utc("ts").alias("ended_at"))
+    return drained(waiting.waited(waiters, ends, WAIT_SECONDS, "1 hour")).select(
+        "waiter", "batch_id", "answer", "state", F.unix_micros("ended_at").alias("ended_at"))
+
+
+def stream_findings(spark, sf):
+    """Events as status changes of their user: which of them no writer makes, and who stayed too long."""
+    kind = F.col("event_type")
+    state = (F.when(kind == "signup", fv.STATE_UPLOADED).when(kind == "purchase", fv.STATE_DONE)
+             .when(kind == "error", fv.STATE_ERROR).otherwise(fv.STATE_PROCESSING))
+    stage = (F.when(kind == "signup", fv.STAGE_WAITING).when(kind == "purchase", fv.STATE_DONE)
+             .when(kind == "error", fv.STATE_ERROR).when(kind == "view", fv.STAGE_EMAIL).otherwise(fv.STAGE_EXTRACTOR))
+    changes = _event_stream(spark, sf).select(
+        F.col("user_id").alias("batch_id"), state.alias("state"), stage.alias("stage"), _utc("ts").alias("updated_at"),
+        F.col("event_id").alias("seq"))
+    return drained(transitions.findings(changes, STUCK_SECONDS, "1 hour"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -689,6 +701,6 @@ QUERIES = {
         status_latest, status_first_start, status_with_default, status_seed_missing,
         status_progress, status_terminal, recipients, notification_rows,
         v17_fields, v17_invoice_no, v17_taxable, v17_max_euro, v17_labels,
-        stream_closed_batches, stream_sessions, stream_status,
+        stream_closed_batches, stream_sessions, stream_status, stream_waiters, stream_findings,
     )
 } | INBOX_QUERIES | RUN_QUERIES

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bz2
 import io
 import lzma
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,138 @@ def expand_archives(archives: DataFrame, with_content: bool = True, only_documen
     return archives.select("archive", "content").mapInPandas(expand, schemas.MEMBERS)
 
 
+#: Where a member lies in its archive, and how it is packed there.
+DIRECTORY = (
+    "archive STRING, uri STRING, is_zip BOOLEAN, member_name STRING, is_dir BOOLEAN, size BIGINT, member_no INT, "
+    "offset BIGINT, packed BIGINT, method INT, crc BIGINT, encrypted BOOLEAN"
+)
+LOCAL_HEADER = struct.Struct("<4s22xHH")  # fixed value: the signature, and how long name and extra field are
+
+
+class _Seekable(io.RawIOBase):
+    """A file of any storage as ``zipfile`` wants it: a place before its begin is an OSError."""
+
+    def __init__(self, data):
+        self.data = data
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.data.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        place = offset + (0 if whence == 0 else self.data.tell() if whence == 1 else self.data.size())
+        if place < 0:
+            raise OSError("a place before the begin of the file")
+        return self.data.seek(place)
+
+    def readinto(self, into) -> int:
+        got = self.data.read(len(into))
+        into[:len(got)] = got
+        return len(got)
+
+
+def archive_directories(archives: DataFrame) -> DataFrame:
+    """``archive, uri`` into one row for each member, read from the directory at the archive's end alone;
+    rows for what is no archive, or an empty one, as in ``expand_archives``."""
+    columns = [part.split()[0] for part in DIRECTORY.split(", ")]
+
+    def members(name: str, uri: str) -> Iterator[tuple]:
+        nothing = (None,) * 9
+        try:
+            files, place = fs.FileSystem.from_uri(uri)
+            with files.open_input_file(place) as opened, io.BufferedReader(_Seekable(opened)) as data:
+                archive = zipfile.ZipFile(data) if zipfile.is_zipfile(data) else None
+                listing = archive.infolist() if archive else None
+        except (zipfile.BadZipFile, NotImplementedError, OSError, ValueError):
+            listing = None
+        if not listing:
+            yield (name, uri, listing is not None, *nothing)
+            return
+        for no, info in enumerate(listing):
+            yield (name, uri, True, info.filename, info.is_dir(), info.file_size, no, info.header_offset,
+                   info.compress_size, info.compress_type, info.CRC, bool(info.flag_bits & 1))
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, uri in zip(frame["archive"], frame["uri"]):
+                rows = []
+                for row in members(name, uri):
+                    rows.append(row)
+                    if len(rows) >= ROWS_PER_FRAME:
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return archives.select("archive", "uri").mapInPandas(look, DIRECTORY)
+
+
+def expand_archive_files(archives: DataFrame, only_documents: bool = False) -> DataFrame:
+    """As ``expand_archives``, from files: ``archive, uri``.
+
+    The directories are read first; then members are dealt over all tasks, and each is read from its
+    range of the file.  An archive is never one value and its members are not one task's; the largest
+    value is one member."""
+    listed = archive_directories(archives)
+    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, 1)
+    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content", "error", "member_no"]
+
+    def unpacked(row) -> tuple[bytes | None, str | None]:
+        if row.member_name is None or row.is_dir or (only_documents and not _may_be_document(row.member_name)):
+            return None, None
+        try:
+            return _member(row), None
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, OSError,
+                EOFError, ValueError, struct.error) as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, held = [], 0
+            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+                content, error = unpacked(row)
+                rows.append((row.archive, row.is_zip, row.member_name, row.is_dir, row.size, content, error, row.member_no))
+                held += len(content or b"")
+                if len(rows) >= ROWS_PER_FRAME or held >= BYTES_PER_FRAME:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return listed.repartition(tasks, "archive", "member_no").mapInPandas(read, schemas.MEMBERS)
+
+
+def _member(row) -> bytes:
+    """The content of a member, from its range of the file."""
+    if row.encrypted:
+        raise RuntimeError(f"File {row.member_name!r} is encrypted, password required for extraction")
+    files, place = fs.FileSystem.from_uri(row.uri)
+    with files.open_input_file(place) as data:
+        if row.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+            with zipfile.ZipFile(io.BufferedReader(_Seekable(data))) as archive:  # rare: read through the directory again
+                return archive.read(archive.infolist()[int(row.member_no)])
+        data.seek(int(row.offset))
+        signature, name_size, extra_size = LOCAL_HEADER.unpack(data.read(LOCAL_HEADER.size))
+        if signature != b"PK\x03\x04":
+            raise zipfile.BadZipFile("Bad magic number for file header")
+        data.seek(name_size + extra_size, 1)
+        packed = data.read(int(row.packed))
+    if len(packed) < row.packed:
+        raise EOFError("the archive ends within a member")
+    if row.method == zipfile.ZIP_DEFLATED:
+        content = zlib.decompress(packed, -15)
+    else:
+        content = bz2.decompress(packed) if row.method == zipfile.ZIP_BZIP2 else packed
+    if zlib.crc32(content) != row.crc or len(content) != row.size:
+        raise zipfile.BadZipFile(f"Bad CRC-32 for file {row.member_name!r}")
+    return content
+
+
 def _may_be_document(name: str) -> bool:
     """True for all that ``is_admissible_member`` takes, so nothing it takes is left packed."""
     return name.lower().endswith(".pdf")
