@@ -142,25 +142,28 @@ def fold(column, folds: int):
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b`` (links) to ``node, component``, the smallest node reachable.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of
-    that label, so labels travel twice as far in each round.  A hot node is met by partial
-    minima and by joins that adaptive execution splits.
+    Every node has a label, at first its smallest neighbour or itself.  In each round a node looks at
+    the labels of its neighbours' labels; the smallest of them becomes its own label and also that of
+    the node that is its label, so whole trees are hooked at once, and labels of labels are taken over.
+    The rounds grow with the logarithm of a component, whatever the order of its nodes.  A hot node is
+    met by partial minima and by joins that adaptive execution splits.
     """
     edges = scratch.save(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct())
     labels = scratch.save(edges.groupBy(F.col("a").alias("node"))
                           .agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = (edges.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
-        lower = labels.join(near, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        moved = scratch.save(lower.join(up, "component").select(
-            "node", F.least("component", "top").alias("component"),
-            (F.least("component", "top") != F.col("old")).alias("changed")))
-        changed = moved.filter("changed").limit(1).count()
-        scratch.free(labels)
+        tops = scratch.save(labels.select("node", "component").join(up, "component"))
+        near = (edges.join(tops.select(F.col("node").alias("b"), "top"), "b")
+                .groupBy(F.col("a").alias("node")).agg(F.min("top").alias("near")))
+        own = F.struct("node", F.least("component", "top", "near").alias("label"), F.col("component").alias("old"))
+        hooked = F.struct(F.col("component").alias("node"), F.col("near").alias("label"), F.lit(None).alias("old"))
+        moved = scratch.save(
+            tops.join(near, "node").select(F.explode(F.array(own, hooked)).alias("_")).select("_.*")
+            .groupBy("node").agg(F.min("label").alias("component"), F.min("old").alias("old")))
+        changed = moved.filter("component != old").limit(1).count()
+        scratch.free(labels, tops)
         labels = moved
         if not changed:
             scratch.free(edges)
-            return labels.drop("changed")
+            return labels.drop("old")

@@ -62,11 +62,15 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     an id and a letter.  Texts are read whole where they are; only their shares are collected."""
     learn = docs.filter(
         "lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    hashed = learn.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("turn"))
-    first = Window.partitionBy("lang").orderBy("turn", "doc_id", "text")
-    chosen = (hashed.select("lang", "doc_id", "turn", F.xxhash64("text").alias("text"))
-              .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TEXTS).select("lang", "doc_id").distinct())
-    rows = hashed.join(F.broadcast(chosen), ["lang", "doc_id"])
+    hashed = learn.select("lang", "text", F.xxhash64("doc_id").alias("turn"), "doc_id",
+                          F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    # Distinct texts are ranked, not ids: an id may stand on any number of rows, a text too.
+    texts = hashed.groupBy("lang", "digest").agg(F.min(F.struct("turn", "doc_id")).alias("first"))
+    first = Window.partitionBy("lang").orderBy("first", "digest")
+    chosen = (texts.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TEXTS)
+              .select("lang", "digest", F.col("first.turn").alias("turn")))
+    rows = (hashed.select("lang", "digest", "text").join(F.broadcast(chosen), ["lang", "digest"])
+            .groupBy("lang", "digest").agg(F.first("text").alias("text"), F.first("turn").alias("turn")))
 
     def measure(block: pa.RecordBatch) -> dict:
         return {"lang": block.column("lang"), "size": [

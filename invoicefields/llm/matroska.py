@@ -30,7 +30,14 @@ TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
 VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = (
     0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285)
-MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
+FRAME_TIME = 0x23E383
+MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
+#: Elements whose numbers are their own; those of others belong to the element around them.
+SCOPES = {SEGMENT, CLUSTER, CUE_POINT, TRACK_ENTRY}
+NUMBERS = {TIMESTAMP, CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE, TRACK_NUMBER, TRACK_TYPE, FRAME_TIME}
+MILLISECOND = 1_000_000
+#: The format itself nests four deep.
+DEEPEST = 16
 
 
 def vint(value: int) -> bytes:
@@ -53,9 +60,9 @@ def unsigned(number: int, value: int) -> bytes:
 _HEADER = element(EBML, unsigned(VERSION, 1), unsigned(READ_VERSION, 1), unsigned(ID_LENGTH, 4),
                   unsigned(SIZE_LENGTH, 8), element(DOC_TYPE, b"matroska"), unsigned(DOC_VERSION, 4),
                   unsigned(DOC_READ, 2))
-_START = element(INFO, unsigned(SCALE, 1_000_000)) + element(TRACKS, element(
+_START = element(INFO, unsigned(SCALE, MILLISECOND)) + element(TRACKS, element(
     TRACK_ENTRY, unsigned(TRACK_NUMBER, 1), unsigned(TRACK_UID, 1), unsigned(TRACK_TYPE, 2),
-    element(CODEC, b"A_PCM/INT/LIT"), element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)),
+    unsigned(FRAME_TIME, FRAME_MS * MILLISECOND), element(CODEC, b"A_PCM/INT/LIT"), element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)),
                                               unsigned(CHANNELS, 1), unsigned(BIT_DEPTH, 8))))
 
 
@@ -88,6 +95,14 @@ class Packet(NamedTuple):
     keyframe: bool
 
 
+class Track(NamedTuple):
+    """``kind`` 1 is video, 2 audio; ``frame_time`` nanoseconds of a frame, 0 if not said."""
+
+    kind: int
+    codec: str
+    frame_time: int
+
+
 class Cue(NamedTuple):
     time: int
     track: int
@@ -123,6 +138,8 @@ def elements(data: bytes, start: int, stop: int) -> Iterator[tuple[int, int, int
                 while end < stop and _number(data, end, True)[0] not in (CLUSTER, CUES, TRACKS, INFO):
                     _, body = _number(data, end, True)
                     inner, body = _number(data, body, False)
+                    if inner < 0:
+                        raise ValueError(f"an element of unknown size in a cluster, at byte {end}")
                     end = body + inner
         else:
             end = at + size
@@ -170,39 +187,58 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     return out
 
 
-def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
-    """Packets in the order stored, and cues.  Raises ValueError on what is no such file."""
-    packets: list[Packet] = []
-    cues: list[Cue] = []
+def parse_file(data: bytes) -> tuple[list[Packet], list[Cue], dict[int, Track]]:
+    """Packets in the order stored, cues, and tracks by number.  Times are milliseconds, rounded down, by
+    the file's own scale; a lace follows the one before it by its track's duration of a frame (without
+    one, all laces have their block's time).  Raises ValueError on what is no such file, and where
+    elements are nested deeper than DEEPEST."""
+    found: list[tuple[int, int, int, int, int, bool]] = []
+    points: list[Cue] = []
+    tracks: dict[int, Track] = {}
+    scale = MILLISECOND
     top = elements(data, 0, len(data))
     if next(top, (0,))[0] != EBML:
         raise ValueError("no EBML header")
+    # what is open: its elements, its kind, and the numbers read so far in the cluster, cue or track
+    stack: list[tuple[Iterator[tuple[int, int, int]], int, dict]] = [(top, 0, {})]
+    while stack:
+        inside, kind, own = stack[-1]
+        number, at, end = next(inside, (0, 0, 0))
+        if not number:
+            stack.pop()
+            if kind == CUE_POINT:
+                points.append(Cue(*(own.get(k, -1) for k in (CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE))))
+            elif kind == TRACK_ENTRY:
+                tracks[own.get(TRACK_NUMBER, 0)] = Track(own.get(TRACK_TYPE, 0), own.get(CODEC, b"").decode("ascii", "replace"),
+                                                         own.get(FRAME_TIME, 0))
+        elif number in MASTERS and (kind or number == SEGMENT):
+            if len(stack) > DEEPEST:
+                raise ValueError(f"nested deeper than {DEEPEST} elements at byte {at}")
+            stack.append((elements(data, at, end), number, {} if number in SCOPES else own))
+        elif number in (SIMPLE_BLOCK, BLOCK) and kind:
+            track, body = _number(data, at, False)
+            if body + 3 > end:
+                raise ValueError(f"block at byte {at} is cut off")
+            offset, flags = struct.unpack_from(">hB", data, body)
+            key = bool(flags & 0x80) if number == SIMPLE_BLOCK else True
+            for i, (place, size) in enumerate(_frames(data, body + 3, end, flags >> 1 & 3)):
+                found.append((track, own.get(TIMESTAMP, 0) + offset, i, place, size, key))
+        elif number == SCALE:
+            scale = int.from_bytes(data[at:end], "big")
+        elif number in NUMBERS:
+            own[number] = int.from_bytes(data[at:end], "big")
+        elif number == CODEC:
+            own[CODEC] = data[at:end].rstrip(b"\0")
+    packets = []
+    for track, ticks, lace, place, size, key in found:
+        later = lace * tracks[track].frame_time if track in tracks else 0
+        packets.append(Packet(track, (ticks * scale + later) // MILLISECOND, place, size, key))
+    return packets, [c._replace(time=c.time * scale // MILLISECOND if c.time >= 0 else -1) for c in points], tracks
 
-    def walk(start: int, stop: int, time: int, cue: dict[int, int]) -> None:
-        for number, at, end in elements(data, start, stop):
-            if number == TIMESTAMP:
-                time = int.from_bytes(data[at:end], "big")
-            elif number in (SIMPLE_BLOCK, BLOCK):
-                track, body = _number(data, at, False)
-                if body + 3 > end:
-                    raise ValueError(f"block at byte {at} is cut off")
-                offset, flags = struct.unpack_from(">hB", data, body)
-                key = bool(flags & 0x80) if number == SIMPLE_BLOCK else True
-                for i, (place, size) in enumerate(_frames(data, body + 3, end, flags >> 1 & 3)):
-                    packets.append(Packet(track, time + offset + i * FRAME_MS, place, size, key))
-            elif number == CUE_POINT:
-                got: dict[int, int] = {}
-                walk(at, end, time, got)
-                cues.append(Cue(*(got.get(k, -1) for k in (CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE))))
-            elif number in MASTERS:
-                walk(at, end, time, cue)
-            elif number in (CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE):
-                cue[number] = int.from_bytes(data[at:end], "big")
-
-    for number, at, end in top:
-        if number == SEGMENT:
-            walk(at, end, 0, {})
-    return packets, cues
+
+def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
+    """Packets in the order stored, and cues."""
+    return parse_file(data)[:2]
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -223,23 +259,26 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """``doc_id, packet, track, timestamp, offset, size, keyframe, cue, error``, a row for each packet.
-    ``cue``: a cue names its timestamp and track.  What is no such file, or null, gives one row with
-    ``error``."""
+    """``doc_id, packet, track, timestamp, offset, size, keyframe, cue, track_type, codec, error``, a row for
+    each packet.  ``cue``: a cue names its timestamp and track.  What is no such file, is nested beyond
+    DEEPEST, or null, gives one row with ``error``."""
+    names = ("doc_id", "packet", "track", "timestamp", "offset", "size", "keyframe", "cue", "track_type", "codec", "error")
+
     def work(block: pa.RecordBatch) -> dict:
         rows = []
         for doc_id, data in zip(block.column("doc_id").to_pylist(), block.column("media").to_pylist()):
             try:
-                packets, cues = parse(data or b"")
+                packets, cues, tracks = parse_file(data or b"")
                 named = {(c.time, c.track) for c in cues}
-                rows += [(doc_id, i, *p, (p.timestamp, p.track) in named, None) for i, p in enumerate(packets)]
+                for i, p in enumerate(packets):
+                    track = tracks.get(p.track, Track(0, "", 0))
+                    rows.append((doc_id, i, *p, (p.timestamp, p.track) in named, track.kind or None, track.codec or None, None))
             except ValueError as e:
-                rows.append((doc_id, None, None, None, None, None, None, None, str(e)))
-        names = ("doc_id", "packet", "track", "timestamp", "offset", "size", "keyframe", "cue", "error")
+                rows.append((doc_id, *(None,) * 9, str(e)))
         return {k: [r[i] for r in rows] for i, k in enumerate(names)}
 
-    ddl = ("doc_id LONG, packet INT, track INT, timestamp LONG, offset LONG, size LONG, keyframe BOOLEAN, "
-           "cue BOOLEAN, error STRING")
+    ddl = ("doc_id LONG, packet INT, track LONG, timestamp LONG, offset LONG, size LONG, keyframe BOOLEAN, "
+           "cue BOOLEAN, track_type LONG, codec STRING, error STRING")
     return map_blocks(media.select("doc_id", "media").withColumnRenamed("media", "text"),
                       lambda b: work(b.rename_columns(["doc_id", "media"])), ddl)
 

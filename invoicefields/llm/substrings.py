@@ -181,16 +181,16 @@ def without_copies(docs: DataFrame, scratch: Scratch, most_cells: int) -> tuple[
 
 
 def _digest():
-    return F.unhex(F.md5(F.col("text").cast("binary")))
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
 
 
 def _key_of(digests: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64)
 
 
-def _mark(hexadecimal: Column) -> Column:
+def _mark(digest: Column) -> Column:
     """The first 16 bits of a digest."""
-    return F.conv(F.substring(hexadecimal, 1, 4), 16, 10).cast("long")
+    return F.conv(F.substring(F.hex(digest), 1, 4), 16, 10).cast("long")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, run: int | None = None,
@@ -200,9 +200,39 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int | None = None,
     is true where the whole text is such a document's, and all windows are meant.
 
     A null or empty text and one of fewer than ``window`` words has no window.  Rows that share an
-    id do not count as each other's earlier document.  A row without an id neither loses words nor
-    is an earlier document.  Windows are judged on the texts as given.  Other columns are ignored.
+    id do not count as each other's earlier document, and each has its own starts.  A row without an
+    id neither loses words nor is an earlier document.  Windows are judged on the texts as given.
+    Other columns are ignored.
     """
+    own = Own(window)
+
+    def judge(block: pa.RecordBatch) -> dict:
+        found = [own.starts(*row) for row in zip(utf8(block), *(block.column(c).to_pylist() for c in ("starts", "checks")))]
+        return {"doc_id": block.column("doc_id"), "text": block.column("text"), "starts": found, "copy": block.column("copy")}
+
+    return map_blocks(marked(docs, window, run, most_cells), judge, "doc_id LONG, text STRING, starts ARRAY<INT>, copy BOOLEAN")
+
+
+class Own:
+    """Which of the starts found for an id are those of one of its rows."""
+
+    def __init__(self, window: int):
+        self.window, self.rolling, self.hashes = window, Rolling(), WordHashes()
+
+    def starts(self, text: bytes | None, starts: list[int] | None, checks: list[int] | None) -> list[int] | None:
+        if checks is None or starts is None:
+            return starts
+        words = text.split() if text else []
+        if len(words) < self.window:
+            return None
+        hashes = self.rolling.runs(self.rolling.sums(self.hashes.of(words)), self.window).view(np.int64)
+        return [s for s, c in zip(starts, checks) if s < len(hashes) and hashes[s] == c] or None
+
+
+def marked(docs: DataFrame, window: int, run: int | None, most_cells: int) -> DataFrame:
+    """``doc_id, text, starts, checks, copy`` for every row.  Starts are found by id and 16 bits of the text.
+    Where different texts share an id, ``checks`` has the hashes of the windows at the starts, by which a
+    row knows its own; a copy is known by its whole digest."""
     run = run or max(1, window // 2)
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -263,11 +293,18 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, run: int | None = None,
                           .filter("first < last").select("h1", "h2", "first"))
     starts = (windows.join(groups, ["h1", "h2"]).filter("doc_id > first")
               .groupBy("doc_id", F.shiftright("place", 32).alias("key"))
-              .agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))
-    marks = (starts.withColumn("copy", F.lit(False)).unionByName(later.select(
-        "doc_id", _mark(F.hex("digest")).alias("key"), F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()))
-    out = (docs.select("doc_id", "text", _mark(F.md5(F.col("text").cast("binary"))).alias("key"))
-           .join(marks, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "copy"))
+              .agg(F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"), "h1")).alias("found")))
+    shared = (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _digest().alias("digest"))
+              .groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+              .filter("least < most").select("doc_id", F.lit(True).alias("shared")))
+    copies = later.groupBy("doc_id", _mark(F.col("digest")).alias("key")).agg(F.collect_set("digest").alias("copies"))
+    marks = (starts.join(copies, ["doc_id", "key"], "full_outer").join(shared, "doc_id", "left")
+             .select("doc_id", "key", F.col("found.place").alias("starts"),
+                     F.when(F.col("shared"), F.col("found.h1")).alias("checks"), "copies"))
+    out = (docs.select("doc_id", "text", _digest().alias("digest")).withColumn("key", _mark(F.col("digest")))
+           .join(marks, ["doc_id", "key"], "left")
+           .select("doc_id", "text", "starts", "checks",
+                   F.coalesce(F.array_contains("copies", F.col("digest")), F.lit(False)).alias("copy")))
     out._scratch = scratch
     return out
 
@@ -284,11 +321,13 @@ def removed(starts: list[int] | None, n: int, window: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST_CELLS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words that stay, joined by blanks."""
+    own = Own(window)
+
     def cut(block: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        for text, starts, copy in zip(utf8(block), block.column("starts").to_pylist(), block.column("copy").to_pylist()):
+        for text, starts, checks, copy in zip(utf8(block), *(block.column(c).to_pylist() for c in ("starts", "checks", "copy"))):
             words = text.split() if text else []
-            gone = removed(starts, len(words), window)
+            gone = removed(own.starts(text, starts, checks), len(words), window)
             if copy and len(words) >= window:
                 gone[:] = True
             out["n_words"].append(len(words))
@@ -297,7 +336,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST
                                else b" ".join(words))
         return {"doc_id": block.column("doc_id"), **out, "kept": pa.array(out["kept"], pa.binary())}
 
-    return map_blocks(find_repeats(docs, window, most_cells=most_cells), cut, "doc_id LONG, n_words LONG, n_removed LONG, kept STRING")
+    return map_blocks(marked(docs, window, None, most_cells), cut, "doc_id LONG, n_words LONG, n_removed LONG, kept STRING")
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW, most_cells: int = MOST_CELLS) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from invoicefields.llm import decontaminate, minhash, mixing, secret_scan, substrings, tokens
 from llm import plain
-from llm.conftest import as_set
+from llm.conftest import SCHEMA, as_set
 
 
 def got(df, *columns):
@@ -247,3 +247,25 @@ def test_stored_tables_have_folders_of_their_own(spark):
     assert len(seen) == 6 and kept._stored_at not in seen
     scratch.free(scratch.save(spark.range(2)))
     assert kept.count() == 3
+
+
+def test_rows_of_one_id_whose_marks_agree(spark):
+    """Two texts under one id, the first 16 bits of whose digests agree: a copy and a text of new words; and
+    one that repeats a part beside one that does not."""
+    import hashlib
+
+    def mark(text):
+        return hashlib.sha256(text.encode()).hexdigest()[:4]
+
+    base = " ".join(f"w{i}" for i in range(61))
+    part = " ".join(f"w{i}" for i in range(55)) + " and its own end"
+
+    def other(like, tag):
+        return next(t for n in range(10**6) if mark(t := f"{tag}{n} " + " ".join(f"{tag}{i}" for i in range(60))) == mark(like))
+
+    rows = [(1, base), (7, base), (7, other(base, "n")), (8, part), (8, other(part, "p")), (9, base), (9, base)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "n", "z", "p") for i, t in rows], SCHEMA)
+    got = as_set((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
+    assert got == as_set([(1, 61, 0), (7, 61, 61), (7, 61, 0), (8, 59, 55), (8, 61, 0), (9, 61, 61), (9, 61, 61)])
+    assert as_set((r["doc_id"], bool(r["starts"]) or r["copy"]) for r in substrings.find_repeats(docs).collect()) == as_set(
+        [(1, False), (7, True), (7, False), (8, True), (8, False), (9, True), (9, True)])

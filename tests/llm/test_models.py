@@ -66,6 +66,21 @@ def test_languages_on_held_out_rows(larger):
     assert np.mean([r["lang"] == r["lang_pred"] for r in sure]) >= np.mean([r["lang"] == r["lang_pred"] for r in out])
 
 
+def test_an_id_on_many_rows_is_one_text_among_others(spark):
+    """One id stands on 20,000 rows; the bound is one of texts, and no text loses its share to it."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    one = next(i for i in range(9) if plain.fold(i, 3) != 1)
+    rows = [(one, "again and again the same", "en")] * 20_000
+    rows += [(10 + i, " ".join(rng.choice(words) for _ in range(300)), "en") for i in range(30)]
+    docs = spark.createDataFrame([r for r in rows if plain.fold(r[0], 3) != 1], "doc_id long, text string, lang string")
+    content = langid.dictionaries(docs)["en"]
+    assert content.count(b"again and again") == 1 and len(content) > 37_000  # all texts, whole
+    many = spark.createDataFrame([(one, f"text {chr(97 + i % 26)} number {chr(97 + i // 26)}", "en") for i in range(600)],
+                                 "doc_id long, text string, lang string")
+    assert len(langid.dictionaries(many)["en"].split()) == 4 * langid.TEXTS
+
+
 def test_languages_of_edge_rows(docs, rows, no_docs):
     out = langid.identify(docs).collect()
     known = {r[2] for r in rows if r[2] is not None}
@@ -227,6 +242,53 @@ def test_lacing_and_unknown_sizes(lacing):
     assert packets[0].timestamp == 995 and packets[0].track == 2 and cues == [matroska.Cue(995, 2, 0, -1)]
 
 
+def test_deep_nesting_is_an_error_row(spark):
+    inner = matroska.element(matroska.BLOCK_GROUP)
+    for _ in range(3000):
+        inner = matroska.element(matroska.BLOCK_GROUP, inner)
+    deep = matroska.element(matroska.EBML) + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, inner))
+    good = matroska.write(b"x" * 192)
+    rows = matroska.packet_table(spark.createDataFrame(
+        [(1, bytearray(deep)), (2, bytearray(good))], "doc_id long, media binary")).collect()
+    assert {(r["doc_id"], r["packet"], (r["error"] or "")[:13]) for r in rows} == {(1, None, "nested deeper"), (2, 0, "")}
+    assert {(r["track_type"], r["codec"]) for r in rows if r["doc_id"] == 2} == {(2, "A_PCM/INT/LIT")}
+
+
+def test_times_by_the_scale_and_frame_time_of_the_file():
+    block = struct.pack(">BhB", 0x81, 3, 0x84) + bytes([1]) + b"ab"
+    tracks = matroska.element(matroska.TRACKS, matroska.element(
+        matroska.TRACK_ENTRY, matroska.unsigned(matroska.TRACK_NUMBER, 1), matroska.unsigned(matroska.TRACK_TYPE, 1),
+        matroska.unsigned(matroska.FRAME_TIME, 40_000_000), matroska.element(matroska.CODEC, b"V_X\0")))
+    other = struct.pack(">BhB", 0x82, 0, 0x84) + bytes([1]) + b"cd"
+    cluster = matroska.element(matroska.CLUSTER, matroska.unsigned(matroska.TIMESTAMP, 100),
+                               matroska.element(matroska.SIMPLE_BLOCK, block), matroska.element(matroska.SIMPLE_BLOCK, other))
+    info = matroska.element(matroska.INFO, matroska.unsigned(matroska.SCALE, 2_000_000))
+    data = matroska.element(matroska.EBML) + matroska.element(matroska.SEGMENT, info, tracks, cluster)
+    packets, _, found = matroska.parse_file(data)
+    assert [p.timestamp for p in packets] == [206, 246, 200, 200]
+    assert found == {1: matroska.Track(1, "V_X", 40_000_000)}
+
+
+def rounds_of(spark, edges):
+    scratch = Scratch(spark, "rounds")
+    found = components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    return {r["node"]: r["component"] for r in found}, (scratch.saved - 2) // 2
+
+
+@pytest.mark.parametrize("order", ["shuffled", "last is first", "alternating"])
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, order):
+    n = 1000
+    nodes = list(range(n))
+    if order == "shuffled":
+        random.Random(8).shuffle(nodes)
+    elif order == "last is first":
+        nodes = [*range(1, n), 0]
+    else:
+        nodes = [i // 2 if i % 2 else n - 1 - i // 2 for i in range(n)]
+    found, rounds = rounds_of(spark, list(zip(nodes, nodes[1:])))
+    assert found == dict.fromkeys(range(n), 0) and rounds <= 20
+
+
 # --- shared, pipeline ----------------------------------------------------------------------------------
 
 def test_components(spark):
