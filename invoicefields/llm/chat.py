@@ -79,10 +79,11 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     A path's score is the sum over its nodes (null counts as 0); ties go to the smaller leaf.  A node
     whose parent is null, missing, or not smaller than itself is a root, so there are no cycles.
     ``node_id`` is unique within a conversation.  Null roles and texts are empty; a null ``conv_id``
-    makes no conversation.  ``loss_spans`` are the stretches (start, length; code points) of
+    is one conversation, as any other value.  ``loss_spans`` are the stretches (start, length; code points) of
     assistant texts.  A conversation is one value and must fit one."""
     scratch = Scratch(nodes.sparkSession, "chat")
-    nodes = nodes.filter("conv_id IS NOT NULL")
+    # as a struct the id is never null, so rows without one meet in joins like all others
+    nodes = nodes.withColumn("conv_id", F.struct(F.col("conv_id").alias("id")))
     said = nodes.select("conv_id", "node_id", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS))
@@ -100,7 +101,7 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     grouped = (turns.withColumn("start", start).groupBy("conv_id", "leaf_id", "rank")
                .agg(F.sort_array(F.collect_list(spans)).alias("turns")))
     out = grouped.select(
-        "conv_id", "leaf_id", "rank", F.size("turns").cast("long").alias("n_turns"),
+        F.col("conv_id.id").alias("conv_id"), "leaf_id", "rank", F.size("turns").cast("long").alias("n_turns"),
         F.array_join("turns.turn", "").alias("formatted"),
         F.filter("turns.span", lambda s: s.isNotNull()).alias("loss_spans"))
     out._scratch = scratch

@@ -231,4 +231,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = WORDS, limit: float = LIMIT)
     """``docs`` with one document of each component, the one with the smallest id.  Rows that share
     an id count as one document: they stay or go together."""
     gone = near_duplicates(docs, n, limit).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept")
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(
+        *["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -269,3 +269,10 @@ def test_rows_of_one_id_whose_marks_agree(spark):
     assert got == as_set([(1, 61, 0), (7, 61, 61), (7, 61, 0), (8, 59, 55), (8, 61, 0), (9, 61, 61), (9, 61, 61)])
     assert as_set((r["doc_id"], bool(r["starts"]) or r["copy"]) for r in substrings.find_repeats(docs).collect()) == as_set(
         [(1, False), (7, True), (7, False), (8, True), (8, False), (9, True), (9, True)])
+
+
+def test_near_duplicates_go_with_odd_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, 1), (2, text, 2), (3, "else " * 9, 3)], "doc_id long, text string, `a.b``c` int")
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r[2] for r in left.collect()) == [1, 3]

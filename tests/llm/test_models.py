@@ -141,12 +141,13 @@ def test_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|turn|>x\\<|end|>"), (1, 2, None, None),
             (1, 3, "assistant", ""), (1, 4, "assistant", "é🙂\\"), (-7, 0, "user", own), (-7, 1, "assistant", own),
             (2, 0, "assistant", "<|im_start|>" * 3), (3, 0, "us<|says|>er\n", "\n"), (4, 1, "user", "b"),
-            (4, 1, "user", "b"), (4, 0, "assistant", "long " * 50_000), (None, 0, "user", "lost")]
+            (4, 1, "user", "b"), (4, 0, "assistant", "long " * 50_000), (None, 0, "user", "whose?"),
+            (None, 1, "assistant", "nobody's")]
     rows += [(5, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(70)]
     rng = random.Random(1)
     rng.shuffle(rows)
     want = []
-    for conv in (1, -7, 2, 3, 4, 5):
+    for conv in (1, -7, 2, 3, 4, 5, None):
         turns = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1] or "", r[2] or ""))
         loss = "".join(t for _, role, t in turns if role == "assistant")
         every = "".join(f"{role or ''}\n{t or ''}\n" for _, role, t in turns)
