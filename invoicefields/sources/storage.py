@@ -98,6 +98,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly in a folder; none if it is missing."""
+    files, where = _files(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     files, where = _files(spark, path)
     return files.exists(where) and files.getFileStatus(where).isDirectory()
