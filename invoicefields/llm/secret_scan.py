@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
 #: Shortest candidate, and how finely p-values are counted: bins for each factor of ten.
 LEAST, BINS_PER_TEN, MOST_BINS = 24, 20, 600
+#: Longest token whose symbol counts are judged by their exact distribution, and the chances below which
+#: its transform is only rounding; half the length up to which runs are.
+EXACT, LEAST_P, MOST_EXACT_RUNS = 64, 1e-12, 512
 MASK = "[SECRET]"
 # The base patterns and the lengths that they must have.
 _ASSIGN = re.compile(
@@ -73,26 +77,92 @@ def encoding(token: str) -> tuple[str, str] | None:
     return None
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+@lru_cache(maxsize=None)
+def _square_sums(k: int) -> list[np.ndarray]:
+    """For each length up to EXACT of tokens of ``k`` symbols drawn at random: the chances of each sum of
+    squared symbol counts, by the sum.
+
+    Counts of symbols are independent Poisson counts of which the total is known.  With z marking the
+    total and q the squares, the chances for all symbols together are the k-th power of the series of
+    one symbol; it is taken at the roots of unity in place of q and brought back by a Fourier transform."""
+    places, n = EXACT * EXACT + 1, np.arange(EXACT + 1)
+    rate = EXACT / k
+    one = np.array([math.exp(-rate + c * math.log(rate) - math.lgamma(c + 1)) for c in n])
+    at = np.exp(-2j * np.pi * (np.outer(n * n, np.arange(places // 2 + 1)) % places) / places)
+
+    def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(left)
+        for c in n:
+            out[c:] += left[c] * right[: len(n) - c]
+        return out
+
+    base, power, rest = one[:, None] * at, None, k
+    while rest:
+        if rest & 1:
+            power = base if power is None else times(power, base)
+        rest >>= 1
+        base = times(base, base) if rest else base
+    weights = np.clip(np.fft.irfft(power, places, axis=1), 0.0, None)
+    return [w / w.sum() for w in weights]
+
+
+@lru_cache(maxsize=None)
+def _square_tails(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of at most and of at least each sum.  What the transform cannot tell from none counts as LEAST_P."""
+    chances = _square_sums(k)[n]
+    up, down = np.cumsum(chances), np.cumsum(chances[::-1])[::-1]
+    return np.maximum(up, LEAST_P), np.maximum(down, LEAST_P)
+
+
+def uniform_p(counts: np.ndarray) -> float:
+    """Two-sided p-value of Pearson's statistic for equal chances: exact up to EXACT symbols, then by the
+    cube root of chi-squared, which is nearly normal."""
+    k, n = len(counts), int(counts.sum())
+    squares = int((counts.astype(np.int64) ** 2).sum())
+    if n <= EXACT:
+        up, down = _square_tails(k, n)
+        return min(1.0, 2 * float(min(up[squares], down[squares])))
+    chi, free = k / n * squares - n, k - 1
+    z = ((max(chi, 0.0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    return max(LEAST_P, math.erfc(abs(z) / math.sqrt(2)))
+
+
+@lru_cache(maxsize=None)
+def runs_p(n: int, changes: int) -> float:
+    """Two-sided p-value of the number of changes between the lower and the upper half of the alphabet:
+    every step is a change with the chance 1/2, on its own, so the count is binomial."""
+    few = min(changes, n - 1 - changes)
+    if n > 2 * MOST_EXACT_RUNS:
+        return min(1.0, math.erfc((n - 1 - 2 * few - 1) / math.sqrt(2 * (n - 1))))
+    return min(1.0, 2 * sum(math.comb(n - 1, i) for i in range(few + 1)) / 2 ** (n - 1))
+
+
+def serial_p(x: np.ndarray) -> float:
+    """Two-sided p-value of the correlation of neighbours, with its mean and spread over all orders of
+    the same symbols; one symbol alone has no order."""
+    n, y = len(x), x - x.mean()
+    power = float((y * y).sum())
+    if power == 0:
+        return 1.0
+    mean = -1 / n
+    # E of (sum of y_i y_i+1)^2 over all orders, from the power sums of the symbols
+    two, four = power * power, float((y ** 4).sum())
+    squares = (two - four) / (n * (n - 1))
+    chained = (2 * four - two) / (n * (n - 1) * (n - 2))
+    apart = (3 * two - 6 * four) / (n * (n - 1) * (n - 2) * (n - 3))
+    second = (n - 1) * squares + 2 * (n - 2) * chained + (n - 2) * (n - 3) * apart
+    spread = math.sqrt(max(second / two - mean * mean, 1e-12))
+    return math.erfc(abs(float((y[1:] * y[:-1]).sum()) / power - mean) / spread / math.sqrt(2))
 
 
 def p_value(token: str, name: str, alphabet: str) -> float:
     """The battery's p-value; small for what is too even, too uneven or too regular to be random."""
     plain = token.lower() if name == "hex" else token.replace("-", "+").replace("_", "/")
-    x = np.array([alphabet.index(c) for c in plain], float)
-    n, k = len(x), len(alphabet)
-    chi = k / n * float((np.bincount(x.astype(int), minlength=k) ** 2).sum()) - n
-    uniform = _two_sided((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
-    high = x >= k / 2
-    a, b = int(high.sum()), int(n - high.sum())
-    runs = 1 + int((high[1:] != high[:-1]).sum())
-    mean, spread = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-    alternate = _two_sided((runs - mean) / math.sqrt(spread)) if spread > 0 else 0.0
-    y = x - x.mean()
-    power = float((y * y).sum())
-    serial = _two_sided((float((y[1:] * y[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power > 0 else 0.0
-    return min(1.0, 3 * min(uniform, alternate, serial))
+    x = np.array([alphabet.index(c) for c in plain])
+    high = x >= len(alphabet) // 2
+    uniform = uniform_p(np.bincount(x, minlength=len(alphabet)))
+    alternate = runs_p(len(x), int((high[1:] != high[:-1]).sum()))
+    return min(1.0, 3 * min(uniform, alternate, serial_p(x.astype(float))))
 
 
 def length_class(n: int) -> int:

@@ -1,9 +1,12 @@
 """Learned operators by held-out accuracy, round trips of formats, and the pipeline."""
 
 import hashlib
+import itertools
+import math
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,6 +131,53 @@ def test_random_tokens_are_told_from_words(spark):
     assert hidden[998] is None and hidden[999] == "plain words only"
 
 
+def test_p_values_keep_their_rate_in_the_tail():
+    rng = random.Random(8)
+    for name, _, alphabet in secret_scan._ENCODINGS:
+        for n in (24, 33, 64, 90):
+            found = [secret_scan.p_value("".join(rng.choices(alphabet, k=n)), name, alphabet) for _ in range(4000)]
+            for limit, most in ((0.05, 0.058), (0.01, 0.014), (0.001, 0.0025)):
+                assert sum(p <= limit for p in found) <= most * len(found), (name, n, limit)
+            assert sum(p <= 0.05 for p in found) >= 0.02 * len(found)
+    assert secret_scan.p_value("0" * 24, "hex", "0123456789abcdef") < 1e-6
+    assert secret_scan.p_value("0f" * 12, "hex", "0123456789abcdef") < 1e-5
+    assert secret_scan.p_value("0123456789abcdef" * 4, "hex", "0123456789abcdef") < 1e-4
+
+
+def test_null_distributions_equal_all_tokens_counted():
+    def squares(token):
+        return sum(token.count(c) ** 2 for c in set(token))
+
+    for k, n in ((2, 9), (3, 7), (4, 5)):
+        tokens = list(itertools.product(range(k), repeat=n))
+        every = [squares(t) for t in tokens]
+        up, down = secret_scan._square_tails(k, n)
+        for s in set(every):
+            assert abs(up[s] - sum(e <= s for e in every) / len(every)) < 1e-9
+            assert abs(down[s] - sum(e >= s for e in every) / len(every)) < 1e-9
+    flips = [sum(a != b for a, b in zip(t, t[1:])) for t in itertools.product((0, 1), repeat=8)]
+    for c in range(8):
+        tail = min(sum(f <= c for f in flips), sum(f >= c for f in flips)) / len(flips)
+        assert abs(secret_scan.runs_p(8, c) - min(1.0, 2 * tail)) < 1e-12
+    # neighbours over all orders of the same symbols: the mean and the spread that the test takes
+    x = np.array([0.0, 1.0, 1.0, 5.0, 2.0, 9.0])
+    y = x - x.mean()
+    r = np.array([(y[list(o)][1:] * y[list(o)][:-1]).sum() / (y * y).sum() for o in itertools.permutations(range(6))])
+    z = abs(((y[1:] * y[:-1]).sum() / (y * y).sum() - r.mean()) / r.std())
+    assert abs(secret_scan.serial_p(x) - math.erfc(z / math.sqrt(2))) < 1e-9
+    assert secret_scan.serial_p(np.ones(24)) == 1.0
+
+
+def test_random_keys_are_seldom_discarded():
+    """Classes of random keys alone: by the false-discovery rule one class in twenty loses any key."""
+    rng, lost = random.Random(3), 0
+    for _ in range(120):
+        bins = Counter(secret_scan.p_bin(secret_scan.p_value("".join(rng.choices("0123456789abcdef", k=24)), "hex",
+                                                             "0123456789abcdef")) for _ in range(250))
+        lost += secret_scan.discard_limits({("hex", 0): bins})["hex", 0] <= max(bins)
+    assert lost <= 12
+
+
 def test_false_discovery_limits():
     counts = {("hex", 0): {0: 96, 60: 4}, ("hex", 1): {0: 10}}
     limits = secret_scan.discard_limits(counts, 0.05)
