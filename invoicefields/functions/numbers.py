@@ -75,6 +75,14 @@ def has_two_decimals(token: Column) -> Column:
     return F.translate(token, " \u00a0", "").rlike(r"(?d)[.,]\d{2}$")
 
 
+def thousandths(value: Column) -> Column:
+    """The double in thousandths, if it is the one nearest to a decimal of three places below 10^12;
+    otherwise NULL.  Up to 15 digits no two decimals share a double, so this is the decimal that the
+    shortest text of the double shows, without making that text."""
+    units = F.rint(value * 1000.0)
+    return F.when((F.abs(value) < 1e12) & (units / 1000.0 == value), units.cast("bigint"))
+
+
 def exact_parts(value: Column) -> tuple[Column, Column]:
     """The double by its shortest decimal text, as its whole part and the rest.  NULL beyond 28 digits
     before the point.  A double below a milliard has room for 28 places, a larger one needs 8 at most,

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from invoicefields import fixed_values as fv
+from invoicefields.operators import status
+
 STYLES = 6
 BATCHES = 50
 ZERO_WIDTH, JOINER, NO_BREAK = "\u200b", "\u2060", "\u00a0"
@@ -106,3 +109,21 @@ def prose_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("lang").alias("batch_id"), file_name(doc).alias("file"),
         F.concat("text", block, "text").alias("text"),
     )
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """Events as status changes of the batch of their user."""
+    kind, e = F.col("event_type"), F.col("event_id")
+    state = (
+        F.when(kind == "signup", F.lit(fv.STATE_UPLOADED)).when(kind == "purchase", F.lit(fv.STATE_DONE))
+        .when(kind == "error", F.lit(fv.STATE_ERROR)).otherwise(F.lit(fv.STATE_PROCESSING))
+    )
+    stage = (
+        F.when(kind == "signup", F.lit(fv.STAGE_WAITING)).when(kind == "purchase", F.lit("DONE"))
+        .when(kind == "error", F.lit("ERROR")).when(kind == "view", F.lit("emailing"))
+        .otherwise(F.lit(fv.STAGE_EXTRACTOR))
+    )
+    return events.select(
+        F.col("user_id").alias("batch_id"),
+        *status.status_row(state, stage, e % 5, e % 7, F.col("ts"), F.array(F.lit("a@x")), kind, e),
+    )

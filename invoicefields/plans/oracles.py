@@ -492,6 +492,13 @@ SELECT batch_id, 'processed' AS outcome, count(*) AS total_files, CAST(NULL AS V
 UNION ALL
 SELECT concat('R', r_regionkey), 'error', 0, 'listing failed: NotADirectoryError', 1, 'ERROR',
   '{fv.MSG_ERROR_PREFIX}listing failed: NotADirectoryError' FROM region""",
+    "status_snapshot": f"""WITH {LOG},
+reads AS (
+  SELECT user_id, CAST(count(*) FILTER (WHERE event_id % 5 = 4) + CAST(bool_or(event_id % 5 < 4) AS INTEGER) AS BIGINT) AS rows_read
+  FROM events GROUP BY user_id
+)
+SELECT CAST(batch_id AS VARCHAR) AS batch_id, state, stage, total_files, processed_files, message, rows_read, started_at, updated_at
+FROM latest JOIN reads ON user_id = batch_id""",
     "status_documents": """
 WITH last AS (
   SELECT user_id, arg_max(event_id, (ts, event_id)) AS e, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id

@@ -478,25 +478,7 @@ def path_sort_rank(spark, sf):
 # --- status -----------------------------------------------------------------------------------
 
 def _status_log(spark, sf) -> DataFrame:
-    return _status_log_of(table(spark, sf, "events"))
-
-
-def _status_log_of(events: DataFrame) -> DataFrame:
-    """Events as status changes of the batch of their user."""
-    kind, e = F.col("event_type"), F.col("event_id")
-    state = (
-        F.when(kind == "signup", F.lit(fv.STATE_UPLOADED)).when(kind == "purchase", F.lit(fv.STATE_DONE))
-        .when(kind == "error", F.lit(fv.STATE_ERROR)).otherwise(F.lit(fv.STATE_PROCESSING))
-    )
-    stage = (
-        F.when(kind == "signup", F.lit(fv.STAGE_WAITING)).when(kind == "purchase", F.lit("DONE"))
-        .when(kind == "error", F.lit("ERROR")).when(kind == "view", F.lit("emailing"))
-        .otherwise(F.lit(fv.STAGE_EXTRACTOR))
-    )
-    return events.select(
-        F.col("user_id").alias("batch_id"),
-        *status.status_row(state, stage, e % 5, e % 7, F.col("ts"), F.array(F.lit("a@x")), kind, e),
-    )
+    return corpus.status_changes(table(spark, sf, "events"))
 
 
 def status_latest(spark, sf):
@@ -656,7 +638,7 @@ def stream_sessions(spark, sf):
 
 def stream_status(spark, sf):
     """The changes that end a batch, from the status log as a stream."""
-    log = _status_log_of(_event_stream(spark, sf))
+    log = corpus.status_changes(_event_stream(spark, sf))
     ends = log.filter(status.is_terminal(F.col("state"), F.col("stage")))
     return drained(ends).select("batch_id", "seq", "state", "stage", "updated_at")
 
