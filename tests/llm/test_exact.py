@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from invoicefields.llm import decontaminate, minhash, mixing, secret_scan, substrings, tokens
+from invoicefields.llm.common import Scratch
 from llm import plain
 from llm.conftest import SCHEMA, as_set
 
@@ -186,6 +187,22 @@ def test_token_counts(spark, docs, rows, no_docs, tmp_path):
     assert tokens.count_tokens(no_docs).count() == 0
 
 
+def test_misses_pass_the_bloom_filter(spark, tmp_path):
+    import hashlib
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6000)]
+    missing = spark.createDataFrame([(d,) for d in digests[:2000]], "content_digest string")
+    bloom = tokens.bloom_filter(missing, 2000)
+    assert len(bloom) * 8 == 32768 and tokens.may_hold(bloom, digests[:2000]).all()
+    assert tokens.may_hold(bloom, digests[2000:]).mean() < 0.01 and len(tokens.may_hold(bloom, [])) == 0
+    cache = str(tmp_path / "cache")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2500) AS text")
+    tokens.add_misses(docs.filter("doc_id % 10 < 7"), cache)
+    tokens.add_misses(docs, cache)
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 2500 and stored.select("content_digest").distinct().count() == 2500
+
+
 def test_segments_count_as_whole_texts():
     import random
 
@@ -234,11 +251,29 @@ def test_mixing(docs, rows, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """Sources of one document each, whose targets are at their bounds or at the fill level."""
+    lengths = {f"s{i:05}": 1 + i % 7 * (i % 3) for i in range(3000)} | {"big": 9000, None: 2}
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(lengths.items())],
+                                 "doc_id long, source string, text string")
+    out = mixing.mix(docs).collect()
+    want, source = plain.targets(lengths), list(lengths)
+    assert len(out) == len(lengths)
+    for r in out:
+        assert abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6
+        assert r["taken"] == int(r["target"] + 1e-9)
+    # every sum before a row, against one window
+    sums = mixing.with_sums_before(docs.select("doc_id", F.length("text").cast("long").alias("n")), [F.desc("doc_id")],
+                                   {"n": "before"}, Scratch(spark, "sums")).collect()
+    total = 0
+    for r in sorted(sums, key=lambda r: -r["doc_id"]):
+        assert r["before"] == total
+        total += r["n"]
+
+
 def test_stored_tables_have_folders_of_their_own(spark):
     import gc
 
-    from invoicefields.llm.common import Scratch
-
     scratch, seen = Scratch(spark, "own"), set()
     kept = scratch.save(spark.range(3))
     for _ in range(6):  # tables that nobody holds any more must not lend their place to the next one
