@@ -34,6 +34,17 @@ def test_roots_without_scheme_follow_the_default_file_system(spark, tmp_path):
             storage.shared_uri(Cluster(spark), root)
 
 
+def test_the_shared_folder_serves_a_cluster(spark):
+    """Roots below spark.checkpoint.dir were refused as folders of one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    root = storage.new_folder(spark, "inbox")
+    for given in (root, f"file://{root}"):
+        assert storage.shared_uri(Cluster(spark), given) == f"file://{root}"
+    for other in (f"{shared}/../in", f"{shared}-of-another", f"file://{shared}/x/../../in"):
+        with pytest.raises(ValueError, match="one machine"):
+            storage.shared_uri(Cluster(spark), other)
+
+
 def test_a_batch_that_cannot_be_listed_is_a_row(spark, tmp_path):
     (tmp_path / "good").mkdir()
     (tmp_path / "good" / "x.pdf").write_text("x")
