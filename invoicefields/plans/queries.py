@@ -21,7 +21,7 @@ from invoicefields.plans.corpus import eu_format, invoice_numbers, money, table,
 from invoicefields.plans.inbox_queries import INBOX_QUERIES, zipped
 from invoicefields.plans.run_queries import RUN_QUERIES
 from invoicefields.sources import sinks
-from invoicefields.sources.archives import archive_documents, expand_archives
+from invoicefields.sources.archives import archive_documents, expand_archives, map_rows
 from invoicefields.sources.files import with_batch, with_rank
 from invoicefields.sources.storage import new_folder, stored
 from invoicefields.streaming import closing, transitions, waiting
@@ -402,26 +402,20 @@ def archive_verdicts(spark, sf):
     return admission.archive_verdicts(_members(spark, sf))
 
 
-def _zipped(frames):
-    for frame in frames:
-        packed = [zipped(page_id, html) for page_id, html in zip(frame["page_id"], frame["html"])]
-        yield pd.DataFrame({"archive": frame["page_id"].astype(str), "content": packed})
+def _archives(spark, sf) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    return map_rows(pages, lambda page_id, html: iter([(str(page_id), zipped(page_id, html))]),
+                    "archive STRING, content BINARY")
 
 
 def archive_expansion(spark, sf):
-    archives = table(spark, sf, "pages").select("page_id", "html").mapInPandas(
-        _zipped, "archive STRING, content BINARY"
-    )
-    return archive_documents(expand_archives(archives)).select(
+    return archive_documents(expand_archives(_archives(spark, sf))).select(
         "archive", "member_name", "size", F.decode("content", "UTF-8").alias("text")
     )
 
 
 def archive_validity(spark, sf):
-    archives = table(spark, sf, "pages").select("page_id", "html").mapInPandas(
-        _zipped, "archive STRING, content BINARY"
-    )
-    return admission.archive_verdicts(expand_archives(archives, with_content=False))
+    return admission.archive_verdicts(expand_archives(_archives(spark, sf), with_content=False))
 
 
 # --- batches ----------------------------------------------------------------------------------

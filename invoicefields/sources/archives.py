@@ -8,18 +8,21 @@ import lzma
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from invoicefields import schemas
 from invoicefields.operators.admission import archive_verdicts, is_admissible_member
 
 ROWS_PER_FRAME = 256
-BYTES_PER_FRAME = 32 << 20
+BYTES_PER_FRAME = 8 << 20
 
 
 def expand_archives(archives: DataFrame, with_content: bool = True, only_documents: bool = False) -> DataFrame:
@@ -32,8 +35,6 @@ def expand_archives(archives: DataFrame, with_content: bool = True, only_documen
     Members leave the task in frames of bounded size; without ``with_content`` only the
     directory of the archive is read, with ``only_documents`` only documents are unpacked.
     """
-    columns = ["archive", "is_zip", "member_name", "is_dir", "size", "content", "error", "member_no"]
-
     def unpacked(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         wanted = with_content and not info.is_dir() and (not only_documents or _may_be_document(info.filename))
         try:
@@ -58,20 +59,33 @@ def expand_archives(archives: DataFrame, with_content: bool = True, only_documen
             for no, info in enumerate(listing):
                 yield (name, True, info.filename, info.is_dir(), info.file_size, *unpacked(archive, info), no)
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    return map_rows(archives.select(F.col("archive").cast("string"), "content"), members, schemas.MEMBERS)
+
+
+def map_rows(given: DataFrame, make: Callable[..., Iterator[tuple]], ddl: str) -> DataFrame:
+    """The rows of the schema ``ddl`` that ``make`` gives for each row, one after the other: a task holds an
+    Arrow batch as it came, the values of one row, and outgoing rows of bounded number and size."""
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows, held = [], 0
-            for name, data in zip(frame["archive"], frame["content"]):
-                for row in members(name, data):
+            for i in range(batch.num_rows):
+                for row in make(*[column[i].as_py() for column in batch.columns]):
                     rows.append(row)
-                    held += len(row[5] or b"")
+                    held += sum(len(v) for v in row if isinstance(v, bytes | str))
                     if len(rows) >= ROWS_PER_FRAME or held >= BYTES_PER_FRAME:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _as_batch(rows, arrow)
                         rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield _as_batch(rows, arrow)
+
+    return given.mapInArrow(run, schema)
+
 
-    return archives.select("archive", "content").mapInPandas(expand, schemas.MEMBERS)
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 #: Where a member lies in its archive, and how it is packed there.

@@ -4,9 +4,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
-from invoicefields.sources import listing, storage
+from invoicefields.sources import archives, listing, storage
 
 HERE = Path(__file__).resolve().parent
 
@@ -53,3 +54,26 @@ def test_a_batch_that_cannot_be_listed_is_a_row(spark, tmp_path):
     rows = {(r.batch_id, r.rel_path, r.error) for r in listing.list_or_fail(batches, str(tmp_path)).collect()}
     assert rows == {("good", "x.pdf", None), ("bad", None, "listing failed: NotADirectoryError")}
     assert [r.batch_id for r in listing.list_files(batches, str(tmp_path)).collect()] == ["good"]
+
+
+class Given:
+    """Rows that are mapped here and not by Spark."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return run(iter(self.batches))
+
+
+def test_rows_leave_a_task_in_bounded_frames():
+    """Archives of pages left their task as one frame for each 10,000 pages, whatever their size."""
+    count, size = 1000, 50_000
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(count)), "html": ["x" * size] * count})
+    frames = archives.map_rows(Given(pages), lambda p, html: iter([(str(p), html.encode())] * (p % 3)),
+                               "archive STRING, content BINARY")
+    seen = []
+    for frame in frames:
+        assert frame.num_rows <= archives.ROWS_PER_FRAME and frame.nbytes < archives.BYTES_PER_FRAME + 2 * size
+        seen += frame.column("archive").to_pylist()
+    assert seen == [str(p) for p in range(count) for _ in range(p % 3)]
