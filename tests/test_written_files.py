@@ -7,6 +7,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 
+from invoicefields.plans import inbox_queries
 from invoicefields.sources import archives, listing, storage
 
 HERE = Path(__file__).resolve().parent
@@ -77,3 +78,9 @@ def test_rows_leave_a_task_in_bounded_frames():
         assert frame.num_rows <= archives.ROWS_PER_FRAME and frame.nbytes < archives.BYTES_PER_FRAME + 2 * size
         seen += frame.column("archive").to_pylist()
     assert seen == [str(p) for p in range(count) for _ in range(p % 3)]
+
+
+def test_uploads_of_pages_are_made_one_by_one():
+    rows = [row for p in range(7) for row in inbox_queries._packed(p, None if p == 4 else "text")]
+    assert [(r[0], r[1], r[2].rsplit(".", 1)[1]) for r in rows] == [(str(p), 0, "pdf" if p == 5 else "zip") for p in range(7)]
+    assert rows[4][3] == b"." and rows[5][3] == b"text." and rows[6][3] == b"" and b"0lder" in rows[1][3]
