@@ -126,12 +126,15 @@ def total_near_french_label(text: Column) -> Column:
     """Third tier: the last euro amount within reach of ``Total Facture en Euro:``."""
     reach = F.lit(fv.EURO_WINDOW)
 
-    def around(parts: Column) -> Column:
-        label = F.regexp_extract(text, FRENCH_TOTAL, 0)
-        window = F.concat(F.right(parts[0], reach), label, F.left(parts[1], reach))
-        return F.when(F.size(parts) == 2, let(window, last_euro_amount))
+    # Wherever the label's own text stands, the pattern matches: its first place is that of the first match.
+    def around(label: Column) -> Column:
+        def window(at: Column) -> Column:
+            before, after = F.left(text, at - 1), F.substring(text, at + F.length(label), F.length(text))
+            return F.concat(F.right(before, reach), label, F.left(after, reach))
 
-    return let(F.split(text, FRENCH_TOTAL, 2), around)
+        return F.when(label != "", let(let(F.position(label, text), window), last_euro_amount))
+
+    return let(F.regexp_extract(text, FRENCH_TOTAL, 0), around)
 
 
 def total_anywhere(text: Column) -> Column:

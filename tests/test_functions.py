@@ -226,3 +226,14 @@ def test_long_runs_stay_cheap(spark, size):
         finders.int_after_label(F.col("t"), fv.PALLET_LABELS).alias("p"), finders.last_euro_amount(F.col("t")).alias("e"),
     ).first()
     assert (got.p, got.e) == (7, 7.0)
+
+
+def test_french_total_where_its_label_stands_twice(spark):
+    """The label was split off by a pattern that was compiled again for each text; now by its first place."""
+    label = "Total Facture en Euro*: "
+    df = spark.createDataFrame([
+        (f"{label}1,50 €",), (f"\U0001F4C4 3,00 € {label}7 {label}9,00 €",), (f"4,00 € {label}",), ("4,00 € Total",), (None,), ("",),
+    ], "t string")
+    plan = df.select(finders.total_near_french_label(F.col("t")).alias("v"))
+    assert [r.v for r in plan.collect()] == [1.5, 9.0, 4.0, None, None, None]
+    assert "split(" not in plan._jdf.queryExecution().toString()
