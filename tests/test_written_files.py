@@ -47,6 +47,19 @@ def test_the_shared_folder_serves_a_cluster(spark):
             storage.shared_uri(Cluster(spark), other)
 
 
+def test_files_are_written_where_they_are_listed(spark, tmp_path):
+    """Tasks took the root as it was given, so each machine of a cluster could write to its own disk."""
+
+    class Files:
+        sparkSession = Cluster(spark)
+
+        def select(self, *columns):
+            raise AssertionError("written")
+
+    with pytest.raises(ValueError, match="one machine"):
+        inbox_queries.write_files(str(tmp_path), Files())
+
+
 def test_a_batch_that_cannot_be_listed_is_a_row(spark, tmp_path):
     (tmp_path / "good").mkdir()
     (tmp_path / "good" / "x.pdf").write_text("x")
